@@ -65,7 +65,7 @@ def reviews(spark: SparkSession, sf_dir: str, release: bool = False) -> DataFram
         (F.col("l_returnflag") != "A").cast("int").alias("target"),
         F.round(F.col("l_discount") * 10, 6).alias("pred"),
         F.round(F.col("l_tax") * 12.5, 6).alias("pred_b"),
-        F.round((F.col("l_quantity") - 1) / 49, 6).alias("pred_c"),
+        ((F.col("l_quantity") - 1) / 49).alias("pred_c"),
     )
     rows = rows.join(part, "movie").join(critics, "critic")
     if release:
@@ -97,7 +97,7 @@ REVIEWS_SQL = f"""reviews AS (
       CAST(o_orderdate AS DATE) AS release_date,
       CAST(l_returnflag <> 'A' AS INTEGER) AS target,
       round(l_discount * 10, 6) AS pred, round(l_tax * 12.5, 6) AS pred_b,
-      round((l_quantity - 1) / 49, 6) AS pred_c,
+      (l_quantity - 1) / 49 AS pred_c,
       p_name AS title, CASE WHEN p_size <= 45 THEN concat_ws(' ', p_name, p_type, p_brand) END AS info,
       p_type AS movie_type, p_brand AS content_rating,
       CASE WHEN p_size > 5 THEN p_brand END AS production_company,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         )
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate output, in the shared folder the session names if it names one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
