@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.operators.factor import fit_projection, non_negative_factors, project, project_rows
+from reviewlens.session import cut_lineage
 
 # A term is two or more letters, digits or underscores in a row; limits of the vocabulary.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -133,69 +134,81 @@ def mean_word_vectors(df: DataFrame, words: DataFrame, key: str, text: str, size
 
 
 # --- named configurations -------------------------------------------------------------------------
+#
+# A configuration is a function (train, key, text) -> (rows -> vectors). What it learns from train is
+# written once, so that applying it to several frames does not learn it again.
+
+
+def _learned_vocabulary(train, key, text, n):
+    return cut_lineage(vocabulary(train, key, text, n))
 
 
 def _counts(n):
-    def build(train, rows, key, text):
-        vocab = vocabulary(train, key, text, n)
-        return dense(count_vectors(rows, vocab, key, text), rows, key, n, value="n")
+    def fit(train, key, text):
+        vocab = _learned_vocabulary(train, key, text, n)
+        return lambda rows: dense(count_vectors(rows, vocab, key, text), rows, key, n, value="n")
 
-    return build
+    return fit
 
 
 def _tfidf(n):
-    def build(train, rows, key, text):
-        vocab = vocabulary(train, key, text, n)
-        return dense(tfidf_vectors(rows, train, vocab, key, text), rows, key, n)
+    def fit(train, key, text):
+        vocab = _learned_vocabulary(train, key, text, n)
+        return lambda rows: dense(tfidf_vectors(rows, train, vocab, key, text), rows, key, n)
 
-    return build
+    return fit
 
 
 def _hashed(n, buckets):
-    def build(train, rows, key, text):
-        out = hashed_vectors(rows, key, text, buckets)
-        return out.select(key, F.slice("vector", 1, n).alias("vector"))
+    def fit(train, key, text):
+        return lambda rows: hashed_vectors(rows, key, text, buckets).select(key, F.slice("vector", 1, n).alias("vector"))
 
-    return build
+    return fit
 
 
 def _reduced(inner, components):
-    def build(train, rows, key, text):
-        fitted = inner(train, train, key, text)
-        projection = fit_projection(fitted, "vector", components, centre=False)
-        return project(inner(train, rows, key, text), "vector", projection)
+    def fit(train, key, text):
+        vectors = inner(train, key, text)
+        projection = fit_projection(vectors(train), "vector", components, centre=False)
+        return lambda rows: project(vectors(rows), "vector", projection)
 
-    return build
+    return fit
 
 
 def _topics(n, terms=200):
-    def build(train, rows, key, text):
-        return topic_shares(_tfidf(terms)(train, train, key, text), _tfidf(terms)(train, rows, key, text), key, n)
+    def fit(train, key, text):
+        vectors = _tfidf(terms)(train, key, text)
+        return lambda rows: topic_shares(vectors(train), vectors(rows), key, n)
 
-    return build
+    return fit
 
 
 def _parts(n, terms=200, iterations=20):
-    def build(train, rows, key, text):
-        vocab = vocabulary(train, key, text, terms)
-        fit = tfidf_vectors(train, train, vocab, key, text)
-        _, parts = non_negative_factors(fit, key, "index", "value", n, iterations)
-        use = tfidf_vectors(rows, train, vocab, key, text)
-        out = project_rows(use, key, "index", "value", parts, n, iterations)
-        zeros = F.array_repeat(F.lit(0.0), n)
-        return rows.select(key).join(out, key, "left").withColumn("vector", F.coalesce("vector", zeros))
+    def fit(train, key, text):
+        vocab = _learned_vocabulary(train, key, text, terms)
+        weights = tfidf_vectors(train, train, vocab, key, text)
+        _, parts = non_negative_factors(weights, key, "index", "value", n, iterations)
+
+        def apply(rows):
+            long = tfidf_vectors(rows, train, vocab, key, text)
+            out = project_rows(long, key, "index", "value", parts, n, iterations)
+            zeros = F.array_repeat(F.lit(0.0), n)
+            return rows.select(key).join(out, key, "left").withColumn("vector", F.coalesce("vector", zeros))
+
+        return apply
 
-    return build
+    return fit
 
 
 def _word_means(size):
-    def build(train, rows, key, text):
-        return mean_word_vectors(rows, word_vectors(train, text, size), key, text, size)
+    def fit(train, key, text):
+        words = cut_lineage(word_vectors(train, text, size))
+        return lambda rows: mean_word_vectors(rows, words, key, text, size)
 
-    return build
+    return fit
 
 
-# name -> (builder, description, reads title and info together)
+# name -> (configuration, description, reads title and info together)
 CONFIGS = {
     "tfidf_50": (_tfidf(50), "TF-IDF, 50 terms", False),
     "tfidf_100": (_tfidf(100), "TF-IDF, 100 terms", False),
@@ -241,10 +254,10 @@ def build_vectors(
         return rows.select(key).join(vectors, key).select(key, F.slice("vector", 1, 32).alias("vector"))
     if name not in CONFIGS:
         raise ValueError(f"unknown text configuration {name}")
-    build, _, joined = CONFIGS[name]
+    fit, _, joined = CONFIGS[name]
     if joined:
         if title is None:
             raise ValueError(f"{name} needs a title column")
         both = F.concat_ws(" ", title, text)
         train, rows = train.withColumn(text, both), rows.withColumn(text, both)
-    return build(train, rows, key, text)
+    return fit(train, key, text)(rows)

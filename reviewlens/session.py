@@ -1,4 +1,4 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, scratch paths and lineage cutting."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ def build_session(master: str | None = None, app: str = "reviewlens", **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.parquet.filterPushdown": "true",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -27,22 +26,29 @@ def build_session(master: str | None = None, app: str = "reviewlens", **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by the session.
+_local_folder: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate output, in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Iterative jobs call this once per step so that a lost executor costs a re-read, not a replay of
-    all steps. A folder is chosen here only where the session names none (single-machine tests).
+    Only where the session names none (single-machine tests) a local folder is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
-    return df.checkpoint()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _local_folder:
+            _local_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = _local_folder[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for intermediate output, in the shared folder the session names if it names one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared folder and read it back.
+
+    Iterative jobs do this once per step, so that a lost executor costs a re-read and not a replay of
+    all steps, and the plan does not grow. Unlike a checkpoint the frame is computed once.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
