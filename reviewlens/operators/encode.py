@@ -130,14 +130,16 @@ def leave_one_out_encode(
 
 
 def out_of_fold_encode(
-    train: DataFrame, keys: list[str], target: str, fold: str, out: str, m: float = 10, prior: Column | None = None
+    train: DataFrame, keys: list[str], target: str, fold: str, out: str, m: float = 10, prior: Column | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Smoothed mean of the rows in the other folds.
 
-    One pass for all folds: the sums of a category minus its sums inside the row's own fold.
+    One pass for all folds: the sums of a category minus its sums inside the row's own fold. ``base``
+    holds the same rows before earlier encoders were joined to them, to take the sums from.
     """
     prior = mean_of(train, target) if prior is None else prior
-    inside = category_sums(train, [*keys, fold], target)
+    inside = category_sums(train if base is None else base, [*keys, fold], target)
     whole = inside.groupBy(*keys).agg(F.sum("_sum").alias("_all_sum"), F.sum("_count").alias("_all_count"))
     stats = inside.join(whole, keys).select(
         *keys, fold, (F.col("_all_sum") - F.col("_sum")).alias("_s"), (F.col("_all_count") - F.col("_count")).alias("_n")

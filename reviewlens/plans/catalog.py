@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.plans.registry import CHECK_SQL, QUERIES
 
-FAMILIES = ("columns", "encoding", "folding", "keysets", "blending", "analysis", "storage", "similarity", "texts", "factors")
+FAMILIES = ("columns", "encoding", "folding", "keysets", "blending", "analysis", "storage", "similarity", "texts", "factors", "models")
 
 for _family in FAMILIES:
     importlib.import_module(f"reviewlens.plans.{_family}")
