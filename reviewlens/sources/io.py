@@ -128,3 +128,16 @@ def splice_results(previous: DataFrame, rerun: DataFrame, key: str = "config") -
 
 def failed_configs(results: DataFrame, key: str = "config", error: str = "error") -> DataFrame:
     return results.filter(F.col(error).isNotNull()).select(key)
+
+
+def spread_small(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Spread a table that is too small to fill the cluster by its files alone.
+
+    A small table often has one row group, which one task would read and process. Tables of at least
+    128 MB per core come from many row groups and are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return df.repartition(cores, key) if size < cores * (128 << 20) else df
