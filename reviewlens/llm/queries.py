@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from reviewlens.llm import op7_binary, op8_quality
+from reviewlens.llm import op7_binary, op8_quality, op10_packing
 
 QUERIES = {
     "op7_token_files": op7_binary.query,
     "op8_quality_rules": op8_quality.query,
+    "op10_best_fit_packing": op10_packing.query,
 }
 CHECK_SQL = {
     "op8_quality_rules": op8_quality.check_sql(),
