@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from reviewlens.llm import op7_binary, op8_quality, op10_packing
+from reviewlens.llm import op2_minhash, op4_sharding, op7_binary, op8_quality, op9_counts, op10_packing
 
 QUERIES = {
+    "op2_near_duplicates": op2_minhash.query,
+    "op4_hilbert_shards": op4_sharding.query,
     "op7_token_files": op7_binary.query,
     "op8_quality_rules": op8_quality.query,
+    "op9_token_counts": op9_counts.query,
     "op10_best_fit_packing": op10_packing.query,
 }
 CHECK_SQL = {
+    "op2_near_duplicates": op2_minhash.check_sql(),
     "op8_quality_rules": op8_quality.check_sql(),
 }
