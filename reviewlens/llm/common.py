@@ -135,11 +135,16 @@ _LOWER[65:91] += 32
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each row, and the n + 1 places where rows begin.
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each row, and the n + 1 places where rows begin."""
+    return word_spans(data, at, lower)[:2]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with the first byte and the number of bytes of each word.
 
     A word's hash is a sum over its bytes, so a row is read in segments of fixed size and a word may cross them.
     """
-    hashes, begins = [], []
+    hashes, begins, sizes = [], [], []
     open_len, total = 0, len(data)
     inner = at[1:-1]
     for lo in range(0, total, _SEGMENT):
@@ -167,9 +172,10 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
         if goes_on:
             carried = (int(h[0]) * pow(_BASE, open_len, 1 << 64)) & _MASK
             hashes[-1][-1] = (int(hashes[-1][-1]) + carried) & _MASK
-            kept, kept_starts = h[1:], starts[1:]
+            sizes[-1][-1] += lens[0]
+            kept, kept_starts, kept_lens = h[1:], starts[1:], lens[1:]
         else:
-            kept, kept_starts = h, starts
+            kept, kept_starts, kept_lens = h, starts, lens
         if inside[-1]:
             open_len = int(lens[-1]) + (open_len if goes_on and len(h) == 1 else 0)
         else:
@@ -177,10 +183,12 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
         if len(kept):
             hashes.append(kept)
             begins.append(kept_starts + lo)
+            sizes.append(kept_lens)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none
     begin = np.concatenate(begins)
-    return mix(np.concatenate(hashes)), np.searchsorted(begin, at).astype(np.int64)
+    return mix(np.concatenate(hashes)), np.searchsorted(begin, at).astype(np.int64), begin, np.concatenate(sizes)
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,9 @@ import pyarrow as pa
 
 from reviewlens.llm import common as C
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
+#: A control character that stands between words of one call; words that contain it are encoded alone.
+_MARK = "\x01"
 
 
 def default_tokenizer() -> str:
@@ -37,20 +39,43 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        marks = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        if len(marks) != 1:
+            raise ValueError("the tokenizer needs one id for the mark between words")
+        self.mark = marks[0]
         self.codes: dict[bytes, int] = {}
         self.pool = np.array([end_id], np.uint32)
         self.begin = np.zeros(1, np.int64)
         self.length = np.ones(1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-        """Codes and id tables with the new words in them; only words within the bound stay known."""
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end and their numbers. Many words go through one call, with a mark between them."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if _MARK not in t]
+        lens = np.zeros(len(texts), np.int64)
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        if len(plain) < len(texts):
+            for i in set(range(len(texts))) - set(plain):
+                parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                lens[i] = len(parts[i])
+        runs = [plain[i:i + 500] for i in range(0, len(plain), 500)]
+        joined = [f" {_MARK} ".join([texts[i] for i in run]) for run in runs]
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            lens[run] = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+            if len(plain) == len(texts):
+                parts[run[0]] = ids[ids != self.mark]
+            else:
+                for i, own in zip(run, np.split(ids[ids != self.mark], np.cumsum(lens[run])[:-1])):
+                    parts[i] = own
+        return np.concatenate([p for p in parts if p is not None]), lens
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of new words and the id tables with them; only words within the bound stay known."""
+        flat, lens = self._ids(words)
         begin = len(self.pool) + np.cumsum(lens) - lens
         first = len(self.begin)
-        new = dict(zip(words, range(first, first + len(words))))
         pool, begins, lengths = np.append(self.pool, flat), np.append(self.begin, begin), np.append(self.length, lens)
         room = MEMO_WORDS - len(self.codes)
         if room > 0:
@@ -58,29 +83,33 @@ class WordEncoder:
             self.codes.update(zip(stay, range(first, first + len(stay))))
             self.begin, self.length = begins[:first + len(stay)], lengths[:first + len(stay)]
             self.pool = pool[:len(self.pool) + int(lens[:len(stay)].sum())]
-        return new, pool, begins, lengths
+        return np.arange(first, first + len(words)), pool, begins, lengths
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows end to end (uint32), and the n + 1 places where rows begin."""
-        words: list[bytes] = []
-        ends = np.empty(len(at) - 1, np.int64)
+        """Ids of all rows end to end (uint32), and the n + 1 places where rows begin.
+
+        Words of the block are grouped by hash and length, each different one is looked up once by its bytes.
+        """
+        hashes, row_at, begins, sizes = C.word_spans(data, at)
+        _, first, group = np.unique(hashes + sizes.astype(np.uint64) * np.uint64(C._BASE), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        for i in range(len(at) - 1):
-            words += raw[at[i]:at[i + 1]].split()
-            words.append(b" ")
-            ends[i] = len(words)
-        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
-        codes[ends - 1] = 0
-        missing = np.flatnonzero(codes < 0)
+        words = [raw[b:e] for b, e in zip(begins[first].tolist(), (begins[first] + sizes[first]).tolist())]
+        known = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(known < 0)
         pool, begin, length = self.pool, self.begin, self.length
         if len(missing):
-            own = [words[i] for i in missing.tolist()]
-            new, pool, begin, length = self._learn(list(dict.fromkeys(own)))
-            codes[missing] = np.fromiter(map(new.__getitem__, own), np.int64, len(own))
+            known[missing], pool, begin, length = self._learn([words[i] for i in missing.tolist()])
+        # The end of a row is one more "word", of code 0.
+        n = len(at) - 1
+        codes = np.zeros(len(hashes) + n, np.int64)
+        is_word = np.ones(len(codes), bool)
+        ends = row_at[1:] + np.arange(n)
+        is_word[ends] = False
+        codes[is_word] = known[group]
         lens = length[codes]
         stop = np.cumsum(lens)
-        ids = pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin[codes] - (stop - lens), lens)]
-        return ids, np.concatenate([[0], stop[ends - 1]]).astype(np.int64)
+        ids = pool[np.arange(stop[-1] if n else 0) + np.repeat(begin[codes] - (stop - lens), lens)]
+        return ids, np.concatenate([[0], stop[ends]]).astype(np.int64)
 
     def encode_column(self, column: pa.Array, limit: int = 4 << 20):
         """(first row, ids, places) for runs of rows of bounded size; a longer row is read in pieces cut at white space."""
