@@ -56,7 +56,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     import zstandard
 
     short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    texts = [r.text for r in short.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    # Only hashes are compared between tasks; the texts up to the last of them follow (more only where hashes are equal).
+    last = short.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    texts = [r.text for r in short.filter(F.col("h") <= last).select("text").limit(SAMPLE_DOCS).collect()]
+    texts.sort()
     if not texts:
         return b""
     parts = []
