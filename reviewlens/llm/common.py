@@ -139,19 +139,25 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
     return word_spans(data, at, lower)[:2]
 
 
-def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``word_hashes``, with the first byte and the number of bytes of each word.
+def word_spans(
+    data: np.ndarray, at: np.ndarray, lower: bool = False, spaces: bytes = WORD_SPACES,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with the first byte and the number of bytes of each word; words lie between bytes of ``spaces``.
 
     A word's hash is a sum over its bytes, so a row is read in segments of fixed size and a word may cross them.
     """
     hashes, begins, sizes = [], [], []
+    in_word = _IS_WORD
+    if spaces != WORD_SPACES:
+        in_word = np.ones(256, bool)
+        in_word[list(spaces)] = False
     open_len, total = 0, len(data)
     inner = at[1:-1]
     for lo in range(0, total, _SEGMENT):
         seg = data[lo:lo + _SEGMENT]
         if lower:
             seg = _LOWER[seg]
-        inside = _IS_WORD[seg]
+        inside = in_word[seg]
         before = np.empty_like(inside)
         before[1:] = inside[:-1]
         before[0] = False

@@ -354,20 +354,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r.text for r in found], np.array([r.toxic for r in found], np.int64))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``score``."""
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """The columns of ``docs`` with the score in ``out`` (a column of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
-    columns = [c for c in docs.columns if c != "score"]
+    columns = [c for c in docs.columns if c != out]
     place = columns.index(text)
 
     def run(batches):
         for batch in batches:
             for first, values in shared.value.scores(batch.column(place)):
                 part = batch.slice(first, len(values))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], [*columns, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    return docs.select(*columns).mapInArrow(run, f"{schema}, score double")
+    kept = docs.select(*[f"`{c}`" for c in columns])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(run, f"{schema}, `{out}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

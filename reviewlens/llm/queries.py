@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from reviewlens.llm import (
-    op1_toxicity, op2_minhash, op3_language, op4_sharding, op6_fingerprints, op7_binary, op8_quality, op9_counts, op10_packing,
+    op1_toxicity, op2_minhash, op3_language, op4_sharding, op5_pieces, op6_fingerprints, op7_binary, op8_quality, op9_counts, op10_packing,
 )
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_near_duplicates": op2_minhash.query,
     "op3_language_id": op3_language.query,
     "op4_hilbert_shards": op4_sharding.query,
+    "op5_pieces": op5_pieces.query,
     "op6_fingerprints": op6_fingerprints.query,
     "op7_token_files": op7_binary.query,
     "op8_quality_rules": op8_quality.query,

@@ -86,11 +86,15 @@ class WordEncoder:
         return np.arange(first, first + len(words)), pool, begins, lengths
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows end to end (uint32), and the n + 1 places where rows begin.
+        """Ids of all rows end to end (uint32), and the n + 1 places where rows begin."""
+        hashes, row_at, begins, sizes = C.word_spans(data, at)
+        return self.encode_spans(data, row_at, begins, sizes, hashes)
+
+    def encode_spans(self, data: np.ndarray, row_at: np.ndarray, begins: np.ndarray, sizes: np.ndarray, hashes: np.ndarray):
+        """Ids of rows of words that are given by first byte, number of bytes and hash.
 
-        Words of the block are grouped by hash and length, each different one is looked up once by its bytes.
+        Words are grouped by hash and length, each different one is looked up once by its bytes.
         """
-        hashes, row_at, begins, sizes = C.word_spans(data, at)
         _, first, group = np.unique(hashes + sizes.astype(np.uint64) * np.uint64(C._BASE), return_index=True, return_inverse=True)
         raw = data.tobytes()
         words = [raw[b:e] for b, e in zip(begins[first].tolist(), (begins[first] + sizes[first]).tolist())]
@@ -100,7 +104,7 @@ class WordEncoder:
         if len(missing):
             known[missing], pool, begin, length = self._learn([words[i] for i in missing.tolist()])
         # The end of a row is one more "word", of code 0.
-        n = len(at) - 1
+        n = len(row_at) - 1
         codes = np.zeros(len(hashes) + n, np.int64)
         is_word = np.ones(len(codes), bool)
         ends = row_at[1:] + np.arange(n)
