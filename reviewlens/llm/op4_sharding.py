@@ -67,11 +67,13 @@ def curve_column(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits
     """Curve index of each row. One aggregation finds the quantiles, ``2**bits - 1`` numbers for each dimension."""
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     found = docs.agg(*[F.percentile_approx(as_number(docs, d), shares).alias(d) for d in dimensions]).first()
-    cuts = [np.unique(np.array(found[d] or [], np.int64)) for d in dimensions]
+    cuts = [np.array(found[d] or [], np.int64) for d in dimensions]
 
     @F.pandas_udf("long")
     def index(*values: pd.Series) -> pd.Series:
-        cells = np.stack([np.searchsorted(c, v.to_numpy(), side="right") for c, v in zip(cuts, values)])
+        # A frequent value takes many cuts; it stands in the middle of them, so that every dimension fills its range.
+        cells = np.stack([(np.searchsorted(c, v.to_numpy()) + np.searchsorted(c, v.to_numpy(), side="right")) // 2
+                          for c, v in zip(cuts, values)])
         return pd.Series(hilbert_index(cells, bits))
 
     return index(*[as_number(docs, d) for d in dimensions])
