@@ -115,13 +115,21 @@ def alignment_report(predictions: DataFrame, ids: DataFrame, key: str) -> DataFr
 def align_strict(predictions: DataFrame, ids: DataFrame, key: str, score: str) -> DataFrame:
     """Like ``align``, but the job fails when ids are missing, extra or repeated.
 
-    The condition is part of the plan: it costs one scalar subquery and no extra action.
+    The condition is a filter over the wanted ids, so no action on the result can prune it: it costs one scalar subquery.
+    Without any wanted id there is no row that could fail; ``require_aligned`` covers that case, too.
     """
     report = alignment_report(predictions, ids, key)
     wrong = report.select(F.col("n_missing") + F.col("n_extra") + F.col("n_repeated")).scalar()
-    joined = ids.select(key).join(predictions.select(key, score), key)
-    stop = F.raise_error("prediction ids do not match the wanted ids").cast("double")
-    return joined.withColumn(score, F.when(wrong == 0, F.col(score)).otherwise(stop))
+    joined = ids.select(key).join(predictions.select(key, score), key, "left")
+    stop = F.raise_error("prediction ids do not match the wanted ids").cast("boolean")
+    return joined.filter(F.when(wrong == 0, F.lit(True)).otherwise(stop))
+
+
+def require_aligned(predictions: DataFrame, ids: DataFrame, key: str) -> None:
+    """Raise an error, before anything is written, when ids are missing, extra or repeated."""
+    found = alignment_report(predictions, ids, key).first()
+    if found.n_missing + found.n_extra + found.n_repeated:
+        raise ValueError(f"prediction ids do not match the wanted ids: {found.asDict()}")
 
 
 def verify(predictions: DataFrame, ids: DataFrame, key: str = "ID", score: str = "target") -> DataFrame:

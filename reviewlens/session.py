@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,13 @@ _local_folder: list[str] = []
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for intermediate output, in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (single-machine tests) a local folder is made.
+    Only where the session names none and runs on a single machine (tests) a local folder is made; elsewhere it is an
+    error, since every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local_folder:
             _local_folder.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = _local_folder[0]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.functions.columns import clean_score
-from reviewlens.operators.blend import align_strict
+from reviewlens.operators.blend import align_strict, require_aligned
 
 # Columns of a review file.
 REVIEW_SCHEMA = (
@@ -25,7 +25,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_reviews(spark: SparkSession, roots: list[str], name: str, schema: str = REVIEW_SCHEMA) -> DataFrame:
-    """Review CSV from the first root that holds it. Quoted fields may span lines."""
+    """Review CSV from the first root that holds it. Quoted fields may span lines.
+
+    Such a file cannot be split, so each file is one task: convert large ones to Parquet once.
+    """
     for root in roots:
         path = f"{root}/{name}"
         if exists(spark, path):
@@ -66,6 +69,7 @@ def write_predictions(
         raise ValueError(f"there is no column {key} among {ids.columns}")
     if path.rstrip("/") in {p.rstrip("/") for p in inputs}:
         raise ValueError(f"{path} is an input of this job")
+    require_aligned(predictions, ids, key)
     out = align_strict(predictions, ids, key, score)
     if sanitize:
         out = out.withColumn(score, clean_score(score))
@@ -128,16 +132,3 @@ def splice_results(previous: DataFrame, rerun: DataFrame, key: str = "config") -
 
 def failed_configs(results: DataFrame, key: str = "config", error: str = "error") -> DataFrame:
     return results.filter(F.col(error).isNotNull()).select(key)
-
-
-def spread_small(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Spread a table that is too small to fill the cluster by its files alone.
-
-    A small table often has one row group, which one task would read and process. Tables of at least
-    128 MB per core come from many row groups and are left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-    return df.repartition(cores, key) if size < cores * (128 << 20) else df

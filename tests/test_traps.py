@@ -281,3 +281,51 @@ def test_row_order_does_not_matter(reviews):
     for df in (reviews.orderBy("id"), reviews.orderBy(F.desc("target"))):
         got = rows(E.time_ordered_target_encode(df, "critic", "target", "date", tie, "te").select("id", "te"))
         assert got == rows(E.time_ordered_target_encode(reviews, "critic", "target", "date", tie, "te").select("id", "te"))
+
+
+@pytest.mark.parametrize("given", [[(7, 0.1), (8, 0.2)], [(1, 0.1), (2, 0.2)], [(1, 0.1), (2, 0.2), (3, 0.3), (4, 0.4)], [(1, 0.1), (2, 0.2), (3, 0.3), (3, 0.3)]])
+def test_strict_alignment_fails_when_it_must(spark, given, tmp_path):
+    """No common id, a missing, an extra, a repeated one: also under count(), which needs no column."""
+    from reviewlens.operators.blend import align_strict
+    from reviewlens.sources.io import write_predictions
+
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "ID long")
+    predictions = spark.createDataFrame(given, "ID long, target double")
+    for action in ("count", "collect"):
+        with pytest.raises(Exception, match="do not match"):
+            getattr(align_strict(predictions, ids, "ID", "target"), action)()
+    with pytest.raises(ValueError, match="do not match"):
+        write_predictions(ids, predictions, f"{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+
+
+def test_strict_alignment_passes(spark, tmp_path):
+    from reviewlens.sources.io import write_predictions
+
+    ids = spark.createDataFrame([(2,), (1,)], "ID long")
+    predictions = spark.createDataFrame([(1, 0.1), (2, 0.2)], "ID long, target double")
+    path = write_predictions(ids, predictions, f"{tmp_path}/out")
+    assert sorted(tuple(r) for r in spark.read.csv(path, header=True, inferSchema=True).collect()) == [(1, 0.1), (2, 0.2)]
+
+
+def test_no_wanted_ids_but_predictions(spark, tmp_path):
+    from reviewlens.sources.io import write_predictions
+
+    with pytest.raises(ValueError, match="do not match"):
+        write_predictions(spark.createDataFrame([], "ID long"), spark.createDataFrame([(1, 0.5)], "ID long, target double"), f"{tmp_path}/out")
+
+
+def test_dense_fills_zeros(spark):
+    from reviewlens.operators.text import dense
+
+    long = spark.createDataFrame([(1, 0, 2.0), (1, 3, 4.0)], "k long, index int, value double")
+    keys = spark.createDataFrame([(1,), (2,)], "k long")
+    assert {r.k: list(r.vector) for r in dense(long, keys, "k", 4).collect()} == {1: [2.0, 0, 0, 4.0], 2: [0.0] * 4}
+
+
+def test_topics_do_not_depend_on_files(spark):
+    """Texts are partitioned by id before they are learned from."""
+    from reviewlens.plans import texts
+
+    docs = texts._documents(spark, "/root/testdata/sf0.001")
+    assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
