@@ -7,15 +7,17 @@ learners; its length is the vocabulary size.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import HashingTF, Normalizer, Word2Vec
+from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.operators.factor import fit_projection, non_negative_factors, project, project_rows
+from reviewlens.operators.folds import hash_bucket
 from reviewlens.session import cut_lineage
 
 # A term is two or more letters, digits or underscores in a row; limits of the vocabulary.
@@ -78,33 +80,36 @@ def dense(long: DataFrame, keys: DataFrame, key: str, dims: int, index: str = "i
     """(key, vector): one array of ``dims`` numbers for every row of ``keys``, zeros where nothing is known."""
 
     @F.pandas_udf("array<double>")
-    def fill(entries: pd.Series) -> pd.Series:
-        out = []
-        for row in entries:
-            vector = [0.0] * dims
-            for entry in () if row is None else row:
-                vector[entry["i"]] = entry["v"]
-            out.append(vector)
-        return pd.Series(out)
+    def fill(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.zeros((len(places), dims))
+        for row, (i, v) in enumerate(zip(places, values)):
+            if i is not None:
+                out[row, i] = v
+        return pd.Series(list(out))
 
     # At most ``dims`` entries per key.
     entry = F.struct(F.col(index).cast("int").alias("i"), F.col(value).cast("double").alias("v"))
     rows = long.groupBy(key).agg(F.collect_list(entry).alias("_e"))
-    return keys.select(key).join(rows, key, "left").select(key, fill("_e").alias("vector"))
+    filled = fill(F.transform("_e", lambda e: e["i"]), F.transform("_e", lambda e: e["v"]))
+    return keys.select(key).join(rows, key, "left").select(key, filled.alias("vector"))
 
 
 def hashed_vectors(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """(key, vector): hashed one- and two-word terms, length 1. Stateless, so nothing is fitted."""
-    words = df.select(key, tokens(text).alias("_t")).withColumn("_t", with_bigrams(F.col("_t")))
-    counted = HashingTF(inputCol="_t", outputCol="_tf", numFeatures=buckets).transform(words)
-    scaled = Normalizer(inputCol="_tf", outputCol="_v", p=2.0).transform(counted)
-    return scaled.select(key, vector_to_array("_v").alias("vector"))
+    """(key, vector): one- and two-word terms in md5 buckets, length 1. Stateless, so nothing is fitted."""
+    terms = df.select(key, tokens(text).alias("_t")).select(key, F.explode(with_bigrams(F.col("_t"))).alias("_t"))
+    counted = terms.groupBy(key, hash_bucket(F.md5("_t"), buckets).alias("index")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    length = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(key)))  # at most ``buckets`` rows per key
+    return dense(counted.withColumn("value", F.col("_n") / length), df, key, buckets)
 
 
-def topic_shares(fit: DataFrame, rows: DataFrame, key: str, topics: int, iterations: int = 10, seed: int = 42) -> DataFrame:
-    """(key, vector): topic distribution by latent Dirichlet allocation over dense term weights."""
+def topic_model(fit: DataFrame, topics: int, iterations: int = 10, seed: int = 42) -> LDAModel:
+    """Latent Dirichlet allocation over dense term weights."""
     lda = LDA(k=topics, maxIter=iterations, seed=seed, featuresCol="_f", optimizer="online")
-    model = lda.fit(fit.select(array_to_vector("vector").alias("_f")))
+    return lda.fit(fit.select(array_to_vector("vector").alias("_f")))
+
+
+def topic_shares(model: LDAModel, rows: DataFrame, key: str) -> DataFrame:
+    """(key, vector): topic distribution of each row."""
     out = model.transform(rows.withColumn("_f", array_to_vector("vector")))
     return out.select(key, vector_to_array("topicDistribution").alias("vector"))
 
@@ -159,9 +164,9 @@ def _tfidf(n):
     return fit
 
 
-def _hashed(n, buckets):
+def _hashed(buckets):
     def fit(train, key, text):
-        return lambda rows: hashed_vectors(rows, key, text, buckets).select(key, F.slice("vector", 1, n).alias("vector"))
+        return lambda rows: hashed_vectors(rows, key, text, buckets)
 
     return fit
 
@@ -178,12 +183,13 @@ def _reduced(inner, components):
 def _topics(n, terms=200):
     def fit(train, key, text):
         vectors = _tfidf(terms)(train, key, text)
-        return lambda rows: topic_shares(vectors(train), vectors(rows), key, n)
+        model = topic_model(vectors(train), n)
+        return lambda rows: topic_shares(model, vectors(rows), key)
 
     return fit
 
 
-def _parts(n, terms=200, iterations=20):
+def _parts(n, terms=200, iterations=15):
     def fit(train, key, text):
         vocab = _learned_vocabulary(train, key, text, terms)
         weights = tfidf_vectors(train, train, vocab, key, text)
@@ -208,6 +214,7 @@ def _word_means(size):
     return fit
 
 
+# Names and sizes that callers of the configurations use.
 # name -> (configuration, description, reads title and info together)
 CONFIGS = {
     "tfidf_50": (_tfidf(50), "TF-IDF, 50 terms", False),
@@ -215,8 +222,8 @@ CONFIGS = {
     "tfidf_svd20": (_reduced(_tfidf(200), 20), "TF-IDF of 200 terms, reduced to 20", False),
     "count_50": (_counts(50), "term counts, 50 terms", False),
     "count_svd20": (_reduced(_counts(200), 20), "counts of 200 terms, reduced to 20", False),
-    "hash_50": (_hashed(50, 256), "hashed terms, first 50 of 256 buckets", False),
-    "hash_svd20": (_reduced(_hashed(512, 512), 20), "hashed terms in 512 buckets, reduced to 20", False),
+    "hash_50": (_hashed(50), "hashed terms in 50 buckets", False),
+    "hash_svd20": (_reduced(_hashed(512), 20), "hashed terms in 512 buckets, reduced to 20", False),
     "lda_10": (_topics(10), "10 LDA topics", False),
     "lda_20": (_topics(20), "20 LDA topics", False),
     "nmf_10": (_parts(10), "10 non-negative parts", False),
