@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions.columns import sigmoid
 from reviewlens.functions.vectors import dot
 from reviewlens.operators.keys import number_keys
+from reviewlens.session import cut_lineage
 
 
 def graph_nodes(pairs: DataFrame, critic: str, movie: str) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +39,8 @@ def neighbour_mean(edges: DataFrame, vectors: DataFrame, node: str, vector: str,
     Parallel edges are counted once per hop as weights, and the mean is summed on the map side, so a
     node with very many edges is no hot spot. Nodes without a vector count as zero.
     """
-    weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    # Written once: every hop reads it.
+    weighted = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("_w")))
     zeros = F.array_repeat(F.lit(0.0), dims)
     current = vectors.select(F.col(node).alias("src"), F.col(vector).cast("array<double>").alias("_v"))
     for _ in range(hops):

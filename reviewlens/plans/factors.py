@@ -58,29 +58,28 @@ def a19(spark, sf_dir):
     "f05_neighbour_document_counts",
     over_reviews(
         "SELECT movie, CAST(index AS INTEGER) AS index, value FROM pairs JOIN top USING (critic)",
-        _TOP_SQL.format(key="movie", other="critic", n=50),
+        _TOP_SQL.format(key="movie", other="critic", n=2000),
     ),
 )
 def f05_counts(spark, sf_dir):
     pairs = _pairs(spark, sf_dir, train_only=True)
-    return X.neighbour_counts(pairs, "movie", "critic", 50).select("movie", "index", "value")
+    return X.neighbour_counts(pairs, "movie", "critic").select("movie", "index", "value")
 
 
 @query(
     "a20_column_means",
-    """SELECT round(avg(embedding[1])::DOUBLE, 6) AS mean_0, round(avg(embedding[2])::DOUBLE, 6) AS mean_1,
-      round(avg(embedding[64])::DOUBLE, 6) AS mean_63 FROM embeddings""",
+    "SELECT " + ", ".join(f"round(avg(embedding[{i + 1}])::DOUBLE, 6) AS mean_{i}" for i in range(64)) + " FROM embeddings",
 )
 def a20(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     means = spark.range(1).select(X.column_means(vectors, "embedding").alias("m"))
-    return means.select(*[F.round(F.col("m")[i], 6).alias(f"mean_{i}") for i in (0, 1, 63)])
+    return means.select(*[F.round(F.col("m")[i], 6).alias(f"mean_{i}") for i in range(64)])
 
 
 @query("f02_implicit_factors")
 def f02(spark, sf_dir):
     df = reviews(spark, sf_dir)
-    users, items = X.implicit_factors(_pairs(spark, sf_dir), "critic", "movie", 8, iterations=5)
+    users, items = X.implicit_factors(_pairs(spark, sf_dir), "critic", "movie", 8)
     out = X.attach_factors(df.select(*KEY), users, "critic", "vector", "critic_factors", _zeros(8))
     out = X.attach_factors(out, items, "movie", "vector", "movie_factors", _zeros(8))
     return _show(out, "critic_factors", "movie_factors")
@@ -102,7 +101,7 @@ def f03_sampler(spark, sf_dir):
 
 @query("f03_ranking_factors")
 def f03(spark, sf_dir):
-    users, items = X.ranking_factors(_pairs(spark, sf_dir), "critic", "movie", 8, epochs=2)
+    users, items = X.ranking_factors(_pairs(spark, sf_dir), "critic", "movie", 8)
     out = X.attach_factors(reviews(spark, sf_dir).select(*KEY), users, "critic", "vector", "critic_factors", _zeros(8))
     return _show(X.attach_factors(out, items, "movie", "vector", "movie_factors", _zeros(8)), "critic_factors", "movie_factors")
 
@@ -111,7 +110,7 @@ def f03(spark, sf_dir):
 def f04(spark, sf_dir):
     """0/1 matrix of train. Unseen critics get zeros, unseen movies the overall mean of the movie factors."""
     pairs = _pairs(spark, sf_dir, train_only=True).withColumn("value", F.lit(1.0))
-    users, items = X.non_negative_factors(pairs, "critic", "movie", "value", 8, iterations=3)
+    users, items = X.non_negative_factors(pairs, "critic", "movie", "value", 8)
     overall = items.select(F.explode("vector").alias("x")).agg(F.avg("x")).scalar()
     out = X.attach_factors(reviews(spark, sf_dir).select(*KEY), users, "critic", "vector", "critic_factors", _zeros(8))
     out = X.attach_factors(out, items, "movie", "vector", "movie_factors", F.array_repeat(overall, 8))
@@ -122,9 +121,9 @@ def f04(spark, sf_dir):
 def f05(spark, sf_dir):
     """Unseen critics get zeros, unseen movies the column means."""
     pairs = _pairs(spark, sf_dir, train_only=True)
-    critics = X.neighbour_factors(pairs, "critic", "movie", 8, 500)
-    movies = X.neighbour_factors(pairs, "movie", "critic", 8, 500)
-    out = X.attach_factors(reviews(spark, sf_dir).select(*KEY), critics, "critic", "vector", "critic_factors", _zeros(8))
+    critics = X.neighbour_factors(pairs, "critic", "movie")
+    movies = X.neighbour_factors(pairs, "movie", "critic")
+    out = X.attach_factors(reviews(spark, sf_dir).select(*KEY), critics, "critic", "vector", "critic_factors", _zeros(32))
     out = X.attach_factors(out, movies, "movie", "vector", "movie_factors", X.column_means(movies, "vector"))
     return _show(out, "critic_factors", "movie_factors")
 
@@ -181,5 +180,5 @@ def f09_nmf(spark, sf_dir):
     scaled = X.scale_non_negative(vectors, vectors.filter("label < 8"), "embedding")
     long = X.to_long(scaled, "vec_id", "embedding")
     train = long.join(vectors.filter("label < 8").select("vec_id"), "vec_id", "left_semi")
-    _, parts = X.non_negative_factors(train, "vec_id", "index", "value", 8, iterations=3)
-    return _show(X.project_rows(long, "vec_id", "index", "value", parts, 8, iterations=3), "vector")
+    _, parts = X.non_negative_factors(train, "vec_id", "index", "value", 8)
+    return _show(X.project_rows(long, "vec_id", "index", "value", parts, 8), "vector")

@@ -13,19 +13,19 @@ from reviewlens.session import scratch_path
 from reviewlens.sources import io as IO
 
 _CSV = "critic bigint, movie bigint, title string, info string, directors string, runtime double, review_date string, target int"
-_TEXT = "concat(title, ', \"', directors, '\"\n', info)"
+_TEXT = """title || ', "' || directors || '"' || chr(10) || info"""
 
 
 @query(
     "io1_read_review_csv",
-    over_reviews(f"""SELECT critic, movie, title, {_TEXT.replace(chr(10), "' || chr(10) || '")} AS info, directors, runtime,
-      review_date, target FROM train WHERE info IS NOT NULL AND directors IS NOT NULL"""),
+    over_reviews(f"""SELECT critic, movie, title, {_TEXT} AS info, directors, runtime,
+      review_date, target FROM reviews"""),
 )
 def io1(spark, sf_dir):
-    """Texts with quotes, separators and line breaks survive the round trip."""
-    train = reviews(spark, sf_dir).filter("is_train AND info IS NOT NULL AND directors IS NOT NULL")
+    """Texts with quotes, separators, line breaks and nulls survive the round trip."""
+    rows = reviews(spark, sf_dir)
     text = F.concat("title", F.lit(', "'), "directors", F.lit('"\n'), "info")
-    rows = train.withColumn("info", text).select(
+    rows = rows.withColumn("info", text).select(
         "critic", "movie", "title", "info", "directors", "runtime", F.col("review_date").cast("string"), "target"
     )
     root = scratch_path(spark, "reviews")
