@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.columns import TARGET_MEAN_EDGES, clip_ratio, right_closed_bin, safe_ratio
 from reviewlens.operators.running import running_totals
+from reviewlens.session import cut_lineage
 
 
 def mean_of(train: DataFrame, value: str) -> Column:
@@ -219,11 +220,12 @@ def two_hop(
     the mean over movies, each movie counting once. ``leave_one_out`` takes the row's own value out;
     use it on the train rows only.
     """
-    stats = train.groupBy(movie).agg(
+    # Written once, as the join and the overall mean both read it: the plan of ``train`` may be a long one.
+    stats = cut_lineage(train.groupBy(movie).agg(
         *[F.sum(v).alias(f"_s_{o}") for o, v in values.items()],
         *[F.count(v).alias(f"_n_{o}") for o, v in values.items()],
         F.count(F.lit(1)).alias("_rows"),
-    )
+    ))
     means = {o: F.try_divide(F.col(f"_s_{o}"), F.col(f"_n_{o}")) for o in values}
     overall = stats.agg(
         F.struct(

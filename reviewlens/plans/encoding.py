@@ -116,8 +116,9 @@ def a03_test(spark, sf_dir):
 def a04(spark, sf_dir):
     train, _, _ = _sides(spark, sf_dir)
     df = K.hash_folds(train, tie(), 5)
-    df = E.out_of_fold_encode(df, ["critic"], "target", "fold", "critic_te", m=10)
-    df = E.out_of_fold_encode(df, ["movie"], "target", "fold", "movie_te", m=15)
+    base = df
+    df = E.out_of_fold_encode(df, ["critic"], "target", "fold", "critic_te", m=10, base=base)
+    df = E.out_of_fold_encode(df, ["movie"], "target", "fold", "movie_te", m=15, base=base)
     return df.select(
         *KEY, "fold", F.round("critic_te", 6).alias("critic_te"), F.round("movie_te", 6).alias("movie_te")
     )
