@@ -191,7 +191,7 @@ def _multiplicative(
 
 
 def non_negative_factors(
-    matrix: DataFrame, row: str, column: str, value: str, k: int, iterations: int = 50, seed: int = 42
+    matrix: DataFrame, row: str, column: str, value: str, k: int, iterations: int = 15, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """(row, vector), (column, vector) with matrix ~ row . column and no negative entry.
 
@@ -213,7 +213,7 @@ def non_negative_factors(
 
 
 def project_rows(
-    matrix: DataFrame, row: str, column: str, value: str, columns: DataFrame, k: int, iterations: int = 50,
+    matrix: DataFrame, row: str, column: str, value: str, columns: DataFrame, k: int, iterations: int = 15,
     seed: int = 42,
 ) -> DataFrame:
     """(row, vector) of new rows for fixed column factors."""
@@ -252,7 +252,7 @@ def sample_negatives(pairs: DataFrame, items: DataFrame, user: str, item: str, e
 
 
 def ranking_factors(
-    pairs: DataFrame, user: str, item: str, k: int, epochs: int = 100, rate: float = 0.5, regularization: float = 0.01,
+    pairs: DataFrame, user: str, item: str, k: int, epochs: int = 10, rate: float = 0.5, regularization: float = 0.01,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """(user, vector), (item, vector) by Bayesian personalized ranking.

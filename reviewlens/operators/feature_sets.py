@@ -189,7 +189,7 @@ def _attach(tables: Tables, factors: DataFrame, key: str, out: str, default: Col
     return tables.each(lambda df, _: X.attach_factors(df, factors, key, "vector", out, default))
 
 
-def add_nmf(tables: Tables, k: int = NMF_FACTORS, iterations: int = 50) -> Tables:
+def add_nmf(tables: Tables, k: int = NMF_FACTORS, iterations: int = 15) -> Tables:
     """Unseen critics get zeros, unseen movies the overall mean of the movie factors."""
     pairs = X.interactions([tables.train], "critic", "movie").withColumn("value", F.lit(1.0))
     critics, movies = X.non_negative_factors(pairs, "critic", "movie", "value", k, iterations)
@@ -216,7 +216,7 @@ def add_vector_pca(tables: Tables, vectors: DataFrame, dims: int, k: int = PCA_C
     return _attach(tables, reduced, "movie", "vector_pca", F.array(*[F.lit(float(x)) for x in missing]))
 
 
-def add_ranking(tables: Tables, k: int = RANKING_FACTORS, epochs: int = 100) -> Tables:
+def add_ranking(tables: Tables, k: int = RANKING_FACTORS, epochs: int = 10) -> Tables:
     """Ranking factors of the pairs of both sides, and their dot product."""
     pairs = X.interactions([tables.train, tables.test], "critic", "movie")
     critics, movies = X.ranking_factors(pairs, "critic", "movie", k, epochs)
@@ -239,7 +239,7 @@ def add_two_hop(tables: Tables, ratio: bool = False, leave_one_out: bool = False
 
 def add_rest(
     tables: Tables, tie: Column, nmf: int = NMF_FACTORS, svd: int = SVD_FACTORS, svd_size: int = 2000,
-    iterations: int = 50,
+    iterations: int = 15,
 ) -> Tables:
     """Everything that ``v2_all`` needs on top of the baseline."""
     tables = add_ratios(add_v2(tables, tie).written()).written()

@@ -27,7 +27,7 @@ UNKNOWN = -1.0  # value of a missing number; trees split it off
 EARLY_STOP = 0.01  # least relative gain on the validation rows
 
 
-def boosted_trees(trees: int = 100, depth: int = 5, rate: float = 0.1, least: int = 46, seed: int = 42, **extra) -> GBTClassifier:
+def boosted_trees(trees: int = 20, depth: int = 5, rate: float = 0.1, least: int = 46, seed: int = 42, **extra) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="_features", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=least,
         featureSubsetStrategy="0.75", seed=seed, cacheNodeIds=True, **extra,
@@ -39,7 +39,7 @@ VARIANTS: dict[str, Callable[..., Estimator]] = {
     "standard": boosted_trees,
     "deep": lambda **k: boosted_trees(depth=10, least=30, **k),
     "shallow": lambda **k: boosted_trees(depth=4, least=80, **k),
-    "forest": lambda trees=100, seed=42: RandomForestClassifier(
+    "forest": lambda trees=50, seed=42: RandomForestClassifier(
         featuresCol="_features", numTrees=trees, maxDepth=8, seed=seed
     ),
     "linear": lambda trees=100, seed=42: LogisticRegression(featuresCol="_features", maxIter=trees, regParam=0.01),

@@ -1,4 +1,4 @@
-"""Queries of learning, ensembling and experiment tables (M1-M14, A22). Few and small trees keep them short."""
+"""Queries of learning, ensembling and experiment tables (M1-M14, A22), with the operators' own settings."""
 
 from __future__ import annotations
 
@@ -14,8 +14,7 @@ from reviewlens.plans.tables import KEY, load, reviews, tie
 from reviewlens.session import scratch_path
 from reviewlens.sources.io import exists
 
-YEARS = [1999, 2000]
-SMALL = dict(trees=3)
+YEARS = [1998, 1999, 2000]
 
 
 def _raw(spark, sf_dir):
@@ -30,7 +29,7 @@ def _baseline(spark, sf_dir):
     """Feature table of all models. It is written once per application and data set."""
     at = (spark.sparkContext.applicationId, sf_dir)
     path = _written.get(at)
-    if path is None or not exists(spark, f"{path}/test"):
+    if path is None or not all(exists(spark, f"{path}/{side}/_SUCCESS") for side in ("train", "test")):
         path = scratch_path(spark, "features")
         tables = S.add_baseline(_raw(spark, sf_dir), tie())
         tables.train.write.parquet(f"{path}/train")
@@ -51,7 +50,7 @@ def _shown(df):
 @query("m01_fit_and_score")
 def m01(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees(**SMALL)))
+    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees()))
 
 
 @query("m02_cross_validation")
@@ -59,7 +58,7 @@ def m02(spark, sf_dir):
     """Validation scores of the time folds and test scores of every fold, in one long table."""
     tables, names = _baseline(spark, sf_dir)
     valid, test, _ = M.cross_validate(
-        tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees(**SMALL), test=tables.test
+        tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees(), test=tables.test
     )
     return valid.select("fold", *KEY, F.round("score", 6).alias("score"), F.lit("validate").alias("side")).unionByName(
         test.select("fold", *KEY, F.round("score", 6).alias("score"), F.lit("test").alias("side"))
@@ -71,7 +70,7 @@ def m02_group(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
     folds = K.group_folds(tables.train, "movie", 4).select("movie", "fold")
     valid, _, _ = M.cross_validate(
-        tables.train.join(folds, "movie"), M.fold_conditions(4), names, KEY, M.boosted_trees(**SMALL), keep=("fold",)
+        tables.train.join(folds, "movie"), M.fold_conditions(4), names, KEY, M.boosted_trees(), keep=("fold",)
     )
     return M.fold_scores(valid)
 
@@ -79,7 +78,7 @@ def m02_group(spark, sf_dir):
 @query("m04_seed_average")
 def m04(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    return _shown(M.seed_average(tables.train, tables.test, names, KEY, lambda s: M.boosted_trees(seed=s, **SMALL)))
+    return _shown(M.seed_average(tables.train, tables.test, names, KEY, lambda s: M.boosted_trees(seed=s)))
 
 
 @query("m05_seen_unseen_models")
@@ -87,7 +86,7 @@ def m05(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
     groups = K.group_folds(tables.train, "movie", 2)
     out = M.seen_unseen_scores(
-        tables.train, tables.test, names, KEY, M.boosted_trees(**SMALL), "movie", YEARS, groups, 2
+        tables.train, tables.test, names, KEY, M.boosted_trees(), "movie", YEARS, groups, 2
     )
     return _shown(out)
 
@@ -95,14 +94,14 @@ def m05(spark, sf_dir):
 @query("m06_stacking")
 def m06(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    learners = [M.VARIANTS[v](**SMALL) for v in ("standard", "forest", "linear")]
+    learners = [M.VARIANTS[v]() for v in ("standard", "forest", "linear")]
     return _shown(M.stack(tables.train, tables.test, YEARS, names, KEY, learners))
 
 
 @query("m07_pseudo_label_retrain")
 def m07(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    out = M.pseudo_label_scores(tables.train, tables.test, names, KEY, M.boosted_trees(**SMALL), 0.8, 0.2)
+    out = M.pseudo_label_scores(tables.train, tables.test, names, KEY, M.boosted_trees(), 0.8, 0.2)
     return _shown(out)
 
 
@@ -110,23 +109,23 @@ def m07(spark, sf_dir):
 def m08(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
     return _shown(
-        M.fit_score(M.balanced(tables.train), tables.test, names, KEY, M.boosted_trees(**SMALL), weight="weight")
+        M.fit_score(M.balanced(tables.train), tables.test, names, KEY, M.boosted_trees(), weight="weight")
     )
 
 
 @query("a22_summed_importances")
 def a22(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    _, _, models = M.cross_validate(tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees(**SMALL))
+    _, _, models = M.cross_validate(tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees())
     return M.importances(models, names).withColumn("importance", F.round("importance", 6))
 
 
 @query("m09_feature_selected_refit")
 def m09(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    _, _, models = M.cross_validate(tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees(**SMALL))
+    _, _, models = M.cross_validate(tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees())
     kept = M.kept_features(M.importances(models, names), names)
-    return _shown(M.fit_score(tables.train, tables.test, kept, KEY, M.boosted_trees(**SMALL)))
+    return _shown(M.fit_score(tables.train, tables.test, kept, KEY, M.boosted_trees()))
 
 
 @query("m10_learner_variants")
@@ -134,7 +133,7 @@ def m10(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
     out = None
     for name in ("deep", "shallow", "forest", "linear"):
-        part = M.fit_score(tables.train, tables.test, names, KEY, M.VARIANTS[name](**SMALL))
+        part = M.fit_score(tables.train, tables.test, names, KEY, M.VARIANTS[name]())
         part = _shown(part).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -143,7 +142,7 @@ def m10(spark, sf_dir):
 @query("m11_all_feature_sets")
 def m11(spark, sf_dir):
     """Inputs of the largest set on the held-out rows."""
-    tables = S.add_rest(_baseline(spark, sf_dir)[0], tie(), nmf=4, svd=4, svd_size=100, iterations=2)
+    tables = S.add_rest(_baseline(spark, sf_dir)[0], tie())
     names = S.feature_sets(tables.test.columns)["v2_all"]
     types = dict(tables.test.dtypes)
     rounded = [
@@ -157,15 +156,15 @@ def m11_best(spark, sf_dir):
     tables, _ = _baseline(spark, sf_dir)
     tables = S.add_vector_pca(tables, _vectors(spark, sf_dir), 64)
     names = S.feature_sets(tables.test.columns)["best"]
-    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees(**SMALL)))
+    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees()))
 
 
 @query("m12_two_hop_and_ranking_experiment")
 def m12(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
-    tables = S.add_two_hop(S.add_ranking(tables, 4, epochs=2), ratio=True).written()
+    tables = S.add_two_hop(S.add_ranking(tables), ratio=True).written()
     names = [*names, "ranking_critic", "ranking_movie", "ranking_dot", "movie_critic_te_mean", "critic_te_div_movie_te"]
-    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees(**SMALL)))
+    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees()))
 
 
 @query("m13_experiment_table")
@@ -177,7 +176,7 @@ def m13(spark, sf_dir):
 
     def config(names):
         def run():
-            valid, _, _ = M.cross_validate(tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees(**SMALL))
+            valid, _, _ = M.cross_validate(tables.train, M.year_conditions(YEARS), names, KEY, M.boosted_trees())
             return len(names), valid
 
         return run
@@ -190,32 +189,39 @@ def m13(spark, sf_dir):
 
 @query("m14_vector_reduction_grid")
 def m14(spark, sf_dir):
-    """Reduction method x dimensions x validation scheme."""
+    """Reduction method x dimensions x validation scheme. Reductions are fitted on the train rows of each fold."""
     tables, names = _baseline(spark, sf_dir)
-    counts = tables.train.groupBy("movie").agg(F.count(F.lit(1)).alias("_rows"))
-    movies = join_vectors(counts, _vectors(spark, sf_dir), "movie", "vector", 64)
+    vectors = _vectors(spark, sf_dir)
+    movies = join_vectors(tables.train.select("movie").distinct(), vectors, "movie", "vector", 64)
     folds = K.group_folds(tables.train, "movie", 2).select("movie", "fold")
+    rows = tables.train.join(folds, "movie")
     schemes = {"time": (M.year_conditions(YEARS), "review_year"), "group": (M.fold_conditions(2), "fold")}
 
+    def fitted(method, dims, train):
+        if method == "random":
+            return random_projection(64, dims)
+        counts = train.groupBy("movie").agg(F.count(F.lit(1)).alias("_rows"))
+        seen = join_vectors(counts, vectors, "movie", "vector", 64)
+        return fit_projection(seen, "vector", dims, centre=method == "pca", weight="_rows")
+
     def config(method, dims, scheme):
         def run():
-            if method == "random":
-                projection = random_projection(64, dims)
-            else:
-                projection = fit_projection(movies, "vector", dims, centre=method == "pca", weight="_rows")
-            reduced = project(movies.select("movie", "vector"), "vector", projection)
-            rows = tables.train.join(reduced, "movie").join(folds, "movie")
             conditions, column = schemes[scheme]
-            valid, _, _ = M.cross_validate(
-                rows, conditions, [*names, "vector"], KEY, M.boosted_trees(trees=2), keep=(column,)
-            )
+            valid = None
+            for number, (in_train, in_valid) in enumerate(conditions):
+                reduced = project(movies, "vector", fitted(method, dims, rows.filter(in_train)))
+                part, _, _ = M.cross_validate(
+                    rows.join(reduced, "movie"), [(in_train, in_valid)], [*names, "vector"], KEY, M.boosted_trees(), keep=(column,)
+                )
+                part = part.withColumn("fold", F.lit(number))
+                valid = part if valid is None else valid.unionByName(part)
             return len(names) + dims, valid
 
         return run
 
     configs = {
         f"{method}_{dims}_{scheme}": config(method, dims, scheme)
-        for method, dims in (("pca", 4), ("random", 8))
+        for method, dims in (("pca", 4), ("svd", 4), ("random", 8))
         for scheme in schemes
     }
     table, _ = M.run_experiments(configs)
