@@ -76,6 +76,7 @@ def right_closed_bin(value: Column | str, edges: tuple[float, ...], default: int
 
 
 def age_bin(days: str) -> Column:
+    # Limits in days.
     d = F.col(days)
     return (
         F.when(d.isNull() | (d < 0), 0).when(d < 365, 1).when(d < 1825, 2).when(d < 7300, 3).otherwise(4)
@@ -114,6 +115,7 @@ def scale_by_train_range(df: DataFrame, train: DataFrame, name: str, out: str) -
 
 
 def title_and_info(title: str, info: str) -> Column:
+    # The template of the text.
     return F.concat(
         F.lit("Title: "), F.coalesce(F.col(title), F.lit("")), F.lit(". "), F.coalesce(F.col(info), F.lit(""))
     )
@@ -131,6 +133,7 @@ def tagged_text(columns: dict[str, str], placeholders: bool = True) -> Column:
     top = F.lit("False")
     if "top_critic" in columns:
         top = F.initcap(F.col(columns["top_critic"]).cast("string"))
+    # Tags and their order.
     fields = [
         ("[MOVIE]", field("title")),
         ("[INFO]", field("info")),
@@ -159,7 +162,7 @@ def token_estimate(text: str) -> Column:
 
 
 def embedding_cost(texts: DataFrame, text: str, price_per_million: float, batch: int = 200) -> DataFrame:
-    """One row: texts, tokens, request batches and cost of embedding all texts."""
+    """One row: texts, tokens, request batches and cost of embedding all texts. Fixed value: texts of a batch."""
     return texts.agg(F.count(F.lit(1)).alias("texts"), F.sum(token_estimate(text)).alias("tokens")).select(
         "texts",
         "tokens",

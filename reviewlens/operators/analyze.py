@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.operators.keys import set_sizes
 
 SCORE_CUTS = 200  # score ranges that are ranked independently
 
@@ -170,10 +169,6 @@ def coverage(train: DataFrame, test: DataFrame, key: str, approximate: bool = Fa
     )
 
 
-def key_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
-    return set_sizes(train, test, key)
-
-
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """First n rows of a total order; each task keeps n rows, nothing is sorted as a whole."""
     return df.orderBy(*order).limit(n)

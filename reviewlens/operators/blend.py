@@ -75,7 +75,7 @@ def blend_grid(
 
 
 def share_patterns(anchor: str, others: list[str], ratio: list[float], new: str, shares: list[float]) -> dict:
-    """Weight vectors with a fixed anchor weight of .45, ``new`` at each share, the rest split by ratio."""
+    """Weight vectors with ``new`` at each share and the rest split by ratio. Fixed value: the anchor's weight of .45."""
     out = {}
     for share in shares:
         rest = 1 - 0.45 - share

@@ -45,6 +45,7 @@ V2 = (*(f"{c}_te" for c in OUT_OF_FOLD), "critic_review_count", "movie_review_co
 RATIOS = ("critic_avg_fresh", "ratio_movie_te_to_critic", "ratio_movie_te_to_global", "ratio_critic_te_to_global")
 DOCUMENTARY = "documentary_x_critic_te"
 
+# Names of the features that the sets are made of, here and above.
 # What a model for unseen movies must not use.
 MOVIE_IDENTITY = (
     "movie_freq", "movie_te", "movie_review_count", "ratio_movie_te_to_critic", "ratio_movie_te_to_global",

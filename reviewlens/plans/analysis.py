@@ -156,12 +156,22 @@ def a14(spark, sf_dir):
     return out.withColumn("rows_seen_pct", F.round("rows_seen_pct", 6))
 
 
-@query("a14_key_coverage_sketch")
+@query(
+    "a14_key_coverage_sketch",
+    "SELECT true AS train_within, true AS test_within",
+)
 def a14_sketch(spark, sf_dir):
+    """Whether the sketched counts are within 15 percent, three times their standard error, of the exact ones."""
     df = reviews(spark, sf_dir)
-    return A.coverage(df.filter("is_train"), df.filter("NOT is_train"), "movie", approximate=True)
+    train, test = df.filter("is_train"), df.filter("NOT is_train")
+    sketch, exact = A.coverage(train, test, "movie", approximate=True), A.coverage(train, test, "movie")
+    return sketch.select(*[
+        (F.abs(F.col(f"n_{s}_keys") - exact.select(f"n_{s}_keys").scalar()) <= 0.15 * exact.select(f"n_{s}_keys").scalar())
+        .alias(f"{s}_within") for s in ("train", "test")
+    ])
 
 
+# Upper and lower limits of the grid.
 _PAIRS = [(0.95, 0.05), (0.90, 0.10), (0.85, 0.15), (0.80, 0.20)]
 
 

@@ -125,6 +125,7 @@ def a17_pair(spark, sf_dir):
 )
 def a18(spark, sf_dir):
     _, sets = _sets(spark, sf_dir)
+    # Shares of the new set.
     patterns = B.share_patterns("a", ["b"], [1.0], "c", [0.05, 0.08, 0.10, 0.12, 0.15, 0.18])
     return _rounded(B.blend_grid(sets, patterns, "ID", "target"))
 

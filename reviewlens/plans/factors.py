@@ -146,6 +146,42 @@ def f07(spark, sf_dir):
     return _show(X.project(_vectors(spark, sf_dir).select("vec_id", "embedding"), "embedding", projection), "embedding")
 
 
+def _all_components(spark, sf_dir, centre):
+    """(place, x): all 64 components of every vector. Components are a rotation, so sums over all of them are kept."""
+    vectors = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    projection = X.fit_projection(vectors, "embedding", 64, centre=centre)
+    return X.project(vectors, "embedding", projection).select(F.posexplode("embedding").alias("place", "x"))
+
+
+_CELLS = "FROM (SELECT i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+
+
+@query(
+    "f06_variance_of_all_components",
+    f"SELECT round(sum(v), 4) AS variance, true AS ordered, true AS uncorrelated FROM (SELECT var_pop(x) AS v {_CELLS} GROUP BY i)",
+)
+def f06_variance(spark, sf_dir):
+    """Component variances add up to the trace, fall with the place, and components do not correlate."""
+    cells = _all_components(spark, sf_dir, True)
+    per_place = cells.groupBy("place").agg(F.var_pop("x").alias("v"))
+    listed = per_place.agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("l")).select(F.transform("l", lambda s: s["v"]).alias("v"))
+    falls = F.forall(F.zip_with(F.slice("v", 1, 63), F.slice("v", 2, 63), lambda a, b: a >= b - 1e-9), lambda ok: ok)
+    vectors = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    parts = X.project(vectors, "embedding", X.fit_projection(vectors, "embedding", 64, centre=True))
+    related = parts.agg(F.greatest(*[
+        F.abs(F.covar_pop(F.col("embedding")[i], F.col("embedding")[j])) for i, j in ((0, 1), (0, 63), (5, 9), (31, 32))
+    ]).alias("c"))
+    return listed.select(
+        F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("variance"), falls.alias("ordered"),
+        (related.scalar() < 1e-6).alias("uncorrelated"),
+    )
+
+
+@query("f07_square_of_all_components", f"SELECT round(sum(x * x), 4) AS square {_CELLS}")
+def f07_square(spark, sf_dir):
+    return _all_components(spark, sf_dir, False).agg(F.round(F.sum(F.col("x") * F.col("x")), 4).alias("square"))
+
+
 _RANDOM = X.random_projection(64, 8)
 
 
