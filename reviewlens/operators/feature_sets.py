@@ -227,8 +227,15 @@ def add_ranking(tables: Tables, k: int = RANKING_FACTORS, epochs: int = 10) -> T
     return tables.each(lambda df, _: df.withColumn("ranking_dot", X.dot("ranking_critic", "ranking_movie")))
 
 
-def add_two_hop(tables: Tables, ratio: bool = False, leave_one_out: bool = False) -> Tables:
+def add_two_hop(
+    tables: Tables, ratio: bool = False, leave_one_out: bool = False, columns: tuple[str, ...] | None = None,
+) -> Tables:
+    """Means over the movie's reviews. ``columns`` names those wanted, all by default; the ratio needs the encoding's mean."""
     values = {"movie_fresh_rate_mean": "target", "movie_critic_te_mean": "critic_te_ts"}
+    if columns is not None:
+        values = {name: values[name] for name in columns}
+    if ratio and "movie_critic_te_mean" not in values:
+        raise ValueError("the ratio needs movie_critic_te_mean")
 
     def step(df: DataFrame, train: DataFrame) -> DataFrame:
         own = leave_one_out and "target" in df.columns and df is train

@@ -21,7 +21,7 @@ from reviewlens.operators import blend as B
 from reviewlens.operators import encode as E
 from reviewlens.operators.feature_sets import without_movie_identity
 from reviewlens.operators.keys import flag_seen
-from reviewlens.session import cut_lineage
+from reviewlens.session import cut_lineage, scratch_path
 
 UNKNOWN = -1.0  # value of a missing number; trees split it off
 EARLY_STOP = 0.01  # least relative gain on the validation rows
@@ -84,15 +84,15 @@ def fit_score(
 def cross_validate(
     train: DataFrame, folds: list[tuple[object, object]], features: list[str], key: list[str], learner: Estimator,
     label: str = "target", test: DataFrame | None = None, keep: tuple[str, ...] = ("review_year",),
-    early_stop: bool = True,
+    early_stop: bool = True, assembled: tuple[DataFrame, DataFrame | None] | None = None,
 ) -> tuple[DataFrame, DataFrame | None, list[Model]]:
     """Fold models: scores of the validation rows, scores of ``test`` by every fold, and the models.
 
     ``folds`` holds a (train condition, validation condition) pair per fold on the ``keep`` columns. With early stopping the
-    validation rows also end the boosting. Features are assembled and written once for all folds.
+    validation rows also end the boosting. Features are assembled and written once for all folds; ``assembled`` passes
+    in the result of ``assembled_sides`` where several learners share it.
     """
-    rows = cut_lineage(assemble(train, features, list(dict.fromkeys([*key, label, *keep]))))
-    held_out = None if test is None else cut_lineage(assemble(test, features, key))
+    rows, held_out = assembled or assembled_sides(train, test, features, key, label, keep)
     valid_scores, test_scores, models = None, None, []
     for number, (in_train, in_valid) in enumerate(folds):
         used = rows.filter(in_train | in_valid).withColumn("_valid", F.coalesce(in_valid, F.lit(False)))
@@ -110,6 +110,15 @@ def cross_validate(
     return valid_scores, test_scores, models
 
 
+def assembled_sides(
+    train: DataFrame, test: DataFrame | None, features: list[str], key: list[str], label: str = "target",
+    keep: tuple[str, ...] = ("review_year",),
+) -> tuple[DataFrame, DataFrame | None]:
+    """Train and test rows with their feature vectors, written."""
+    rows = cut_lineage(assemble(train, features, list(dict.fromkeys([*key, label, *keep]))))
+    return rows, None if test is None else cut_lineage(assemble(test, features, key))
+
+
 def year_conditions(years: list[int], year: str = "review_year") -> list[tuple[object, object]]:
     return [(F.col(year) < y, F.col(year) == y) for y in years]
 
@@ -159,8 +168,9 @@ def stack(
     """Per time fold: base learners, a ridge model of their validation scores, its test scores; fold mean."""
     names = [f"_s{i}" for i in range(len(learners))]
     valid, held_out = None, None
+    sides = assembled_sides(train, test, features, key, label)
     for name, learner in zip(names, learners):
-        v, t, _ = cross_validate(train, year_conditions(years), features, key, learner, label, test)
+        v, t, _ = cross_validate(train, year_conditions(years), features, key, learner, label, test, assembled=sides)
         v, t = v.withColumnRenamed("score", name), t.withColumnRenamed("score", name)
         valid = v if valid is None else valid.join(v.drop(label), ["fold", *key])
         held_out = t if held_out is None else held_out.join(t, ["fold", *key])
@@ -181,6 +191,18 @@ def stack(
     return meta.groupBy(*key).agg(F.avg("prediction").alias("score"))
 
 
+def stack_seeds(
+    train: DataFrame, test: DataFrame, years: list[int], features: list[str], key: list[str],
+    learners: Callable[[int], list[Estimator]], seeds: list[int], label: str = "target",
+) -> DataFrame:
+    """Mean of stacks that differ in the seed of their base learners."""
+    out = None
+    for seed in seeds:
+        part = cut_lineage(stack(train, test, years, features, key, learners(seed), label))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*key).agg(F.avg("score").alias("score"))
+
+
 def balanced(train: DataFrame, label: str = "target", out: str = "weight") -> DataFrame:
     """Weight of a positive row = negatives / positives, of a negative row 1."""
     weight = E.class_balance(train, label).select("pos_weight").scalar()
@@ -222,20 +244,23 @@ def run_experiments(
 
     A configuration returns its number of features and its validation scores (fold, target, score).
     An error is recorded and does not stop the others. Result: (config, n_features, cv_auc_mean,
-    cv_auc_std, error) and the validation scores of those that ran.
+    cv_auc_std, path, error), where ``path`` holds the validation scores, and the scores of those that ran.
     """
     from pyspark.sql import SparkSession
 
+    spark = SparkSession.getActiveSession()
     rows, scores = [], {}
     for name, run in configs.items():
         if name in done:
             continue
         try:
             n, valid = run()
-            scores[name] = cut_lineage(valid)
+            path = scratch_path(spark, "validation-scores")
+            valid.write.parquet(path)
+            scores[name] = spark.read.schema(valid.schema).parquet(path)
             mean, std = A.fold_summary(fold_scores(scores[name]), [], "auc").first()
-            rows.append((name, n, mean, std, None))
+            rows.append((name, n, mean, std, path, None))
         except Exception as exc:  # recorded per configuration by contract
-            rows.append((name, None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
-    schema = "config string, n_features int, cv_auc_mean double, cv_auc_std double, error string"
-    return SparkSession.getActiveSession().createDataFrame(rows, schema), scores
+            rows.append((name, None, None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
+    schema = "config string, n_features int, cv_auc_mean double, cv_auc_std double, path string, error string"
+    return spark.createDataFrame(rows, schema), scores

@@ -98,6 +98,13 @@ def m06(spark, sf_dir):
     return _shown(M.stack(tables.train, tables.test, YEARS, names, KEY, learners))
 
 
+@query("m06_stacking_seeds")
+def m06_seeds(spark, sf_dir):
+    tables, names = _baseline(spark, sf_dir)
+    learners = lambda seed: [M.VARIANTS[v](seed=seed) for v in ("standard", "forest")]
+    return _shown(M.stack_seeds(tables.train, tables.test, YEARS, names, KEY, learners, [1, 2]))
+
+
 @query("m07_pseudo_label_retrain")
 def m07(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
@@ -225,4 +232,4 @@ def m14(spark, sf_dir):
         for scheme in schemes
     }
     table, _ = M.run_experiments(configs)
-    return table
+    return table.drop("path")
