@@ -27,8 +27,7 @@ def _free(docs: DataFrame, name: str) -> str:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and all thresholds."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
-    return op8_quality.quality(held).filter("kept").select("_doc.*")
+    return op8_quality.passing(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,15 @@ def quality(docs: DataFrame, text: str = "text", rules: list[tuple[str, float |
     return measures(docs, text).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def passing(docs: DataFrame, text: str = "text", rules: list[tuple[str, float | None, float | None]] = RULES) -> DataFrame:
+    """The rows that are kept, with the input's columns whatever their names are."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"))
+    # A column that is not deterministic keeps the optimizer from pulling the condition, with every measure written out
+    # in it many times over, below the projections that compute the measures once.
+    judged = quality(held, "text", rules).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("kept and _row >= 0").select("_doc.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
