@@ -24,11 +24,10 @@ END_ID, WIDTH, BLOCK_BYTES = 49407, 2, 8 << 20
 
 
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, width: int = WIDTH) -> DataFrame:
-    """Encode (doc_id, text) in ascending order of doc_id into ``part-NNNNN.bin``; returns (file, ordinal, doc_id), stored.
+    """Encode (doc_id, text) as the rows come into ``part-NNNNN.bin``; returns (file, ordinal, doc_id), stored.
 
-    The end id's name in a text is ordinary text, so only true ends carry the id.
+    Nothing is shuffled: each task writes the file of its own rows. The end id's name in a text is ordinary text, so only true ends carry the id.
     """
-    spark = docs.sparkSession
     tokenizer = tokenizer or tokens.default_tokenizer()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     fs, folder = op7_binary._fs(path)
@@ -53,8 +52,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                                               "ordinal": pa.array(np.arange(n, n + len(column))), "doc_id": column})
             n += len(column)
 
-    ordered = docs.repartitionByRange(C.shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return C.saved(ordered.mapInArrow(write, "file string, ordinal long, doc_id long"), "flat-rows")
+    return C.saved(docs.mapInArrow(write, "file string, ordinal long, doc_id long"), "flat-rows")
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
