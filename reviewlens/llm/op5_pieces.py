@@ -67,6 +67,14 @@ class Pieces:
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece has a space behind another character")
         self.longest = max(map(len, self.ids))
+        # Every beginning of a piece: its id, or -1 if it is none itself.
+        self.begun = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
+        self.score_list = self.scores.tolist()
+        # UTF-8 bytes of all pieces end to end.
+        raw = [bytes([b]) if b >= 0 else (p or "").encode() for b, p in zip(self.bytes.tolist(), self.pieces)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_len = np.array([len(r) for r in raw])
+        self.raw_at = np.cumsum(self.raw_len) - self.raw_len
 
     def lattice(self, text: str, start: int, stop: int, begin_before: int) -> tuple[list[float], list[int]]:
         """Best scores of reaching start..stop from ``start``, and where the last piece begins.
@@ -75,21 +83,23 @@ class Pieces:
         """
         scores, back = [_NONE] * (stop - start + 1), [-1] * (stop - start + 1)
         scores[0] = 0.0
-        get, value, longest = self.ids.get, self.scores, self.longest
+        get, value, longest, ids = self.begun.get, self.score_list, self.longest, self.ids
         for i in range(start, min(begin_before, stop)):
             here = scores[i - start]
             if here == _NONE:
                 continue
+            if text[i] not in ids:
+                s = here + UNKNOWN
+                if s > scores[i + 1 - start]:
+                    scores[i + 1 - start], back[i + 1 - start] = s, i
             for j in range(i + 1, min(i + longest, stop) + 1):
                 piece = get(text[i:j])
-                if piece is not None:
+                if piece is None:  # no piece begins like this
+                    break
+                if piece >= 0:
                     s = here + value[piece]
-                elif j == i + 1:
-                    s = here + UNKNOWN
-                else:
-                    continue
-                if s > scores[j - start]:
-                    scores[j - start], back[j - start] = s, i
+                    if s > scores[j - start]:
+                        scores[j - start], back[j - start] = s, i
         return scores, back
 
     def trace(self, text: str, start: int, stop: int, back: list[int]) -> list[int]:
@@ -105,18 +115,14 @@ class Pieces:
     def best(self, text: str) -> list[int]:
         return self.trace(text, 0, len(text), self.lattice(text, 0, len(text), len(text))[1])
 
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes of ids, with the leading space that encoding adds."""
+        lens = self.raw_len[ids]
+        stop = np.cumsum(lens)
+        return self.raw[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.raw_at[ids] - (stop - lens), lens)]
+
     def decode(self, ids) -> str:
-        """Text of ids, with the leading space that encoding adds."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.bytes[i] >= 0:
-                raw.append(self.bytes[i])
-                continue
-            if raw:
-                out.append(raw.decode())
-                raw.clear()
-            out.append(self.pieces[i])
-        return "".join(out) + raw.decode()
+        return self.decode_bytes(np.asarray(ids, np.int64)).tobytes().decode()
 
 
 class PieceEncoder(tokens.WordEncoder):
@@ -282,10 +288,11 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
                     own = texts[i:j]
                     ids, at = enc.encode_texts(own)
                     sums = np.concatenate([[0.0], np.cumsum(enc.vocabulary.scores[ids])])
-                    decoded = [enc.vocabulary.decode(ids[at[r]:at[r + 1]])[1:] for r in range(len(own))]
+                    raw = enc.vocabulary.decode_bytes(ids).tobytes()
+                    ends = np.concatenate([[0], np.cumsum(enc.vocabulary.raw_len[ids])])[at].tolist()
                     yield _chunked(_encoded_batch(
                         [row + k for k in range(i, j)], doc_ids[i:j], [0] * (j - i), ids, at, sums[at[1:]] - sums[at[:-1]],
-                        [len(t) for t in own], [a == b for a, b in zip(own, decoded)]), None)
+                        [len(t) for t in own], [t.encode() == raw[a + 1:b] for t, a, b in zip(own, ends, ends[1:])]), None)
                     i = j
                     continue
                 text = " " + texts[i]
