@@ -6,10 +6,12 @@ minhashes are computed for as many tables of ``2 * PER_SIDE`` minhashes, about t
 pair of similarity s is in no common table with probability 1 - (1 - (1 - s**PER_SIDE)**SIDE)**2: 9e-5 at s = 0.8 and
 3e-6 at 0.85 for the defaults.
 
-Steps: equal shingle sets become one node; tables with two nodes or more are kept; in each, every node is compared with a
-leader that a hash of node and table picks, so that a pair meets in many of its common tables. Nodes of one component are
-not compared again: a second round picks ``LEADERS`` more leaders in the tables that still hold several components. The
-number of pairs is linear in the table sizes. Every link is confirmed on the full shingle sets.
+Steps: equal shingle sets become one node; tables with two nodes or more are kept; in each, every node is compared with the
+smallest one, so that a large group meets the same few leaders in all its tables. Nodes of one component are not compared
+again, nor is the smallest node of a table, which has met all others: where the rest of a table still holds several
+components, ``LEADERS`` more leaders are picked by a hash of node and table, so that a pair meets in many of its common
+tables. The number of pairs is linear in the table sizes.
+Every link is confirmed on the full shingle sets.
 
 Null or empty text, and text without words: no shingles, linked with nothing, a component of its own. Repeated rows (also
 those of one document id) are each returned, in the same component. An empty table gives no rows. Extra columns stay;
@@ -106,12 +108,13 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _pairs(members: DataFrame, picks: list[int], percent: int) -> DataFrame:
-    """(a, b) of each member and the leaders of its table, if their sizes allow a link."""
+    """(a, b) of each member and the leaders of its table, if their sizes allow a link; pick 0 is the smallest node."""
     window = Window.partitionBy("key")
     node = F.struct("node", "n", *(["label"] if "label" in members.columns else []))
     led = members
     for p in picks:
-        pick = F.min(F.struct(F.xxhash64("node", "key", F.lit(p)).alias("h"), node.alias("who"))).over(window)
+        order = F.xxhash64("node", "key", F.lit(p)) if p else F.col("node")
+        pick = F.min(F.struct(order.alias("h"), node.alias("who"))).over(window)
         led = led.withColumn(f"lead{p}", pick.getField("who"))
     found = None
     for p in picks:
@@ -155,7 +158,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = graph.components(links)
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = Window.partitionBy("key")
-    apart = named.withColumn("_lo", F.min("label").over(several)).withColumn("_hi", F.max("label").over(several)) \
+    rest = named.withColumn("_first", F.min("node").over(several)).filter("node <> _first").drop("_first")
+    apart = rest.withColumn("_lo", F.min("label").over(several)).withColumn("_hi", F.max("label").over(several)) \
         .filter("_lo <> _hi").drop("_lo", "_hi")
     more = C.saved(_links(_pairs(apart, list(range(1, LEADERS + 1)), percent), sets, percent), "links")
     labels = graph.components(links.union(more))
