@@ -10,8 +10,9 @@ Steps: equal shingle sets become one node; tables with two nodes or more are kep
 smallest one, so that a large group meets the same few leaders in all its tables. Nodes of one component are not compared
 again, nor is the smallest node of a table, which has met all others: where the rest of a table still holds several
 components, ``LEADERS`` more leaders are picked by a hash of node and table, so that a pair meets in many of its common
-tables. The number of pairs is linear in the table sizes.
-Every link is confirmed on the full shingle sets.
+tables. The number of these pairs is linear in the table sizes. What is still unmet, nodes of different components in one
+table, is compared in full: blocks of such nodes meet inside tasks, and only links leave them.
+Every link is confirmed on the full shingle sets, and no two components that share a table are left unmet.
 
 Null or empty text, and text without words: no shingles, linked with nothing, a component of its own. Repeated rows (also
 those of one document id) are each returned, in the same component. An empty table gives no rows. Extra columns stay;
@@ -32,6 +33,7 @@ from reviewlens.llm import graph
 
 WIDTH, PERCENT = 4, 80
 SIDE, PER_SIDE, LEADERS = 14, 3, 3
+BLOCK, PER_NODE = 1 << 18, 256  # shingles of a block; each node counts as that many more
 SEED = 20_011
 
 
@@ -135,6 +137,83 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _meet(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components of two blocks (side 0 and 1) or inside one (side 2), enough of them to join all that are linked."""
+    node, label, side = (table[c].to_numpy() for c in ("node", "label", "side"))
+    lists = table["shingles"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    row = np.repeat(np.arange(len(node)), sizes)
+    _, place, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = count > 1
+    row, place = row[shared[place]], (np.cumsum(shared) - 1)[place[shared[place]]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    common = np.zeros((len(left), len(right)), np.float32)
+    step = 4096
+    for lo in range(0, int(shared.sum()), step):
+        i, j = np.searchsorted(place, [lo, lo + step])
+        has = np.zeros((len(node), step), np.float32)
+        has[row[i:j], place[i:j] - lo] = 1
+        common += has[left] @ has[right].T
+    both = common.astype(np.int64)
+    linked = (100 * both >= percent * (sizes[left][:, None] + sizes[right] - both)) & (label[left][:, None] != label[right])
+    x, y = np.nonzero(linked)
+    x, y = left[x], right[y]
+    _, one = np.unique(np.stack([np.minimum(label[x], label[y]), np.maximum(label[x], label[y])]), axis=1, return_index=True)
+    top: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in top:
+            v = top[v]
+        return v
+
+    joined = []
+    for k in one.tolist():
+        u, v = sorted((root(int(label[x[k]])), root(int(label[y[k]]))))
+        if u < v:
+            top[v] = u
+            joined.append(k)
+    return pa.table({"a": pa.array(node[x[joined]], pa.int64()), "b": pa.array(node[y[joined]], pa.int64())})
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of (node, n, key) that share a table, have not met and are in different components.
+
+    The leaders have met all others of their table. Tables that then hold several components are brought together where they
+    share nodes; the nodes of such a group are dealt into blocks, and every two blocks meet in a task, but for two of the
+    same large component.
+    """
+    named = members.select("node", "n", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    leaders = named.groupBy("key").agg(*[
+        F.min(F.struct(F.xxhash64("node", "key", F.lit(p)).alias("h"), "node")).getField("node").alias(f"lead{p}")
+        for p in range(1, LEADERS + 1)
+    ])
+    unmet = named.join(leaders, "key").filter(~F.col("node").isin(*[F.col(f"lead{p}") for p in range(1, LEADERS + 1)]))
+    several = unmet.groupBy("key").agg(F.min("node").alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    unmet = C.saved(unmet.join(several, "key").select("node", "n", "label", "first"), "unmet")
+    groups = graph.components(unmet, "node", "first").withColumnRenamed("label", "group")
+    load = (F.col("n") + PER_NODE).alias("load")
+    nodes = C.saved(unmet.select("node", "label", load).distinct().join(groups, "node"), "unmet")
+    own = F.when(F.sum("load") >= BLOCK, F.col("label")).otherwise(F.lit(-1)).alias("own")
+    owns = nodes.groupBy("group", "label").agg(own)
+    nodes = nodes.join(owns, ["group", "label"])
+    counts = nodes.groupBy("group", "own").agg(F.ceil(F.sum("load") / BLOCK).alias("blocks"))
+    dealt = nodes.join(counts, ["group", "own"]).withColumn("place", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks", "load")
+    blocks = counts.select("group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("place"))
+    others = blocks.select("group", F.col("own").alias("own2"), F.col("place").alias("place2"))
+    two = blocks.join(others, "group").filter(
+        "struct(own, place) <= struct(own2, place2) AND NOT (own = own2 AND own >= 0)").withColumn(
+        "sides", F.expr("""if(own = own2 AND place = place2, array(struct(own AS o, place AS p, 2 AS side)),
+            array(struct(own AS o, place AS p, 0 AS side), struct(own2 AS o, place2 AS p, 1 AS side)))"""))
+    pair = F.struct("own", "place", "own2", "place2").alias("pair")
+    sides = two.select("group", pair, F.explode("sides").alias("s")).select(
+        "group", "pair", F.col("s.o").alias("own"), F.col("s.p").alias("place"), "s.side")
+    met = dealt.join(sides, ["group", "own", "place"]).join(sets, "node")
+    met = met.select("group", "pair", "node", "label", "side", "shingles").groupBy("group", "pair")
+    return met.applyInArrow(lambda t: _meet(t, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -159,10 +238,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = Window.partitionBy("key")
     rest = named.withColumn("_first", F.min("node").over(several)).filter("node <> _first").drop("_first")
-    apart = rest.withColumn("_lo", F.min("label").over(several)).withColumn("_hi", F.max("label").over(several)) \
-        .filter("_lo <> _hi").drop("_lo", "_hi")
+    apart = C.saved(rest.withColumn("_lo", F.min("label").over(several)).withColumn("_hi", F.max("label").over(several))
+                    .filter("_lo <> _hi").drop("_lo", "_hi"), "tables")
     more = C.saved(_links(_pairs(apart, list(range(1, LEADERS + 1)), percent), sets, percent), "links")
-    labels = graph.components(links.union(more))
+    links = links.union(more)
+    labels = graph.components(links)
+    last = C.saved(_rest(apart, labels, sets, percent), "links")
+    labels = graph.components(links.union(last))
     labelled = nodes.select("node", "digest", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(smallest, "label").select("digest", "component_id")

@@ -119,6 +119,22 @@ def test_groups_equal_brute_force(spark, width, percent):
     assert sorted(map(tuple, found)) == brute_groups(rows, width, percent)
 
 
+def test_links_among_many_variants_of_one_text(spark):
+    """Pairs that share only the common text lie in tables with half of all rows and are each linked with one row only."""
+    base = [f"w{i}" for i in range(200)]
+    places = [(s, t) for s in range(4, 192, 4) for t in range(s + 12, 192, 4)][:900]
+    rows = []
+    for i, (s, t) in enumerate(places):
+        for side in range(2):
+            words = list(base)
+            for at in (s, t):
+                words[at:at + 7] = [f"p{i}x{side}y{at + k}" for k in range(7)]
+            rows.append((side * 10_000 + (i * 7919) % 9973, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = P2.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 10_000 for i, _ in rows}
+
+
 def test_groups_of_odd_rows(spark, odd, odd_rows, empty):
     found = P2.near_duplicates(odd).collect()
     assert sorted(map(tuple, found)) == brute_groups([(r[0], r[1]) for r in odd_rows], 4, 80)
