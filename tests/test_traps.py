@@ -329,3 +329,20 @@ def test_topics_do_not_depend_on_files(spark):
 
     docs = texts._documents(spark, "/root/testdata/sf0.001")
     assert docs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_learners_keep_their_own_settings(spark):
+    """The registered queries pass no setting, so a smaller default would cut all of them."""
+    import inspect
+
+    from reviewlens.operators import factor, feature_sets, model, text
+
+    def default(f, name):
+        return inspect.signature(f).parameters[name].default
+
+    assert model.boosted_trees().getMaxIter() == 100
+    assert model.VARIANTS["forest"]().getNumTrees() == 100
+    assert [default(f, "iterations") for f in (factor.non_negative_factors, factor.project_rows)] == [50, 50]
+    assert [default(f, "iterations") for f in (feature_sets.add_nmf, feature_sets.add_rest)] == [50, 50]
+    assert [default(f, "epochs") for f in (factor.ranking_factors, feature_sets.add_ranking)] == [100, 100]
+    assert default(text._parts, "iterations") == 20
