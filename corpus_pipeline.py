@@ -3,13 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads it again as the
 next stage's documents. All stages but the last return the columns of ``documents`` unchanged, whatever they are called.
 
-Null or empty texts are rejected by the quality rules. Rows of one document id count as one document in the near-duplicate
-stage: the one with the smallest text stays; rows without an id are kept. Empty tables pass through all stages.
+Null or empty texts are rejected by the quality rules. The near-duplicate stage goes by texts: one row of each component
+stays, the one with the smallest id, whether ids are repeated or null. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common, op1_toxicity, op2_minhash, op8_quality, op10_packing
@@ -39,13 +39,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    groups = op2_minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    name = _free(docs, "_place")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    one_each = docs.join(first, "doc_id", "left_semi").withColumn(name, place).filter(F.col(name) == 1).drop(name)
-    return one_each.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each near-duplicate group of texts, with the smallest id (null last); rows without words each stay, repeated ones once."""
+    groups = common.saved(op2_minhash.text_groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT), "groups")
+    first = groups.filter("label IS NOT NULL").groupBy("label").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select("s.row")
+    name = _free(docs, "_row")
+    stay = first.union(groups.filter("label IS NULL AND doc_id IS NOT NULL").select("row")).distinct().withColumnRenamed("row", name)
+    one_each = docs.withColumn(name, op2_minhash.row_key()).join(stay, name, "left_semi").dropDuplicates([name])
+    blank = groups.filter("label IS NULL AND doc_id IS NULL").select(F.col("row").alias(name)).distinct()
+    blanks = docs.filter("doc_id IS NULL").withColumn(name, op2_minhash.row_key()).join(blank, name, "left_semi")
+    return common.saved(one_each.select(docs.columns).unionByName(blanks.select(docs.columns)), "first")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
@@ -62,8 +62,13 @@ def half_keys(hashes: np.ndarray, at: np.ndarray, side: int = SIDE, per_side: in
     return keys
 
 
+def row_key() -> Column:
+    """Names a row by id and text: ids may be null or stand for several texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def signatures(docs: DataFrame, width: int = WIDTH, side: int = SIDE, per_side: int = PER_SIDE) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys) of each document, stored; ``digest`` names the set (null if empty)."""
+    """(doc_id, n_shingles, digest, keys, row) of each document, stored; ``digest`` names the set (null if empty)."""
 
     def sign(batches):
         for batch in batches:
@@ -83,11 +88,11 @@ def signatures(docs: DataFrame, width: int = WIDTH, side: int = SIDE, per_side:
                 offsets = np.concatenate([[0], np.cumsum(full * 2 * side)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(sizes), pa.array(digests, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
-                    ["doc_id", "n_shingles", "digest", "keys"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64))), batch.column(2).slice(first, n)],
+                    ["doc_id", "n_shingles", "digest", "keys", "row"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return C.saved(read.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    return C.saved(read.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>, row long"), "signatures")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -214,14 +219,14 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     return met.applyInArrow(lambda t: _meet(t, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
+def text_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, row, label) of each row; ``label`` names the component of its text, whatever the ids (null: no shingles)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = signatures(docs, width)
     # One node for each set of shingles; copies never become pairs.
     nodes = C.saved(
         signed.filter("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        .agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     first, second = F.slice("keys", 1, SIDE), F.slice("keys", SIDE + 1, SIDE)
     tables = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: F.xxhash64(i * SIDE + j, x, y))))
@@ -229,9 +234,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     shared = C.saved(
         members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("size > 1").drop("size"), "tables")
     met = shared.select("node").distinct()
-    one_each = nodes.join(met, "node", "left_semi").select("node", F.col("first_id").alias("doc_id"), "digest")
-    # A document id may stand for several texts: the digest of the row has to be the node's, too.
-    texts = docs.join(one_each, "doc_id")
+    one_each = nodes.join(met, "node", "left_semi").select("node", "row", "digest")
+    # Rows that share a key by chance: the digest of the row has to be the node's, too.
+    texts = docs.withColumn("row", row_key()).join(one_each, "row")
     sets = C.saved(shingle_sets(texts, width).filter("digest = found").dropDuplicates(["node"]).select("node", "shingles"), "sets")
     links = C.saved(_links(_pairs(shared, [0], percent), sets, percent), "links")
     labels = graph.components(links)
@@ -245,11 +250,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = graph.components(links)
     last = C.saved(_rest(apart, labels, sets, percent), "links")
     labels = graph.components(links.union(last))
-    labelled = nodes.select("node", "digest", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "label").select("digest", "component_id")
-    return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left") \
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labelled = nodes.select("node", "digest").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    return signed.select("doc_id", "n_shingles", "row", "digest").join(labelled, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of (doc_id, text)."""
+    groups = C.saved(text_groups(docs, width, percent), "groups")
+    smallest = groups.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(smallest, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

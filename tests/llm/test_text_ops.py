@@ -344,6 +344,16 @@ def test_pipeline_equals_brute_force(spark):
     assert sum(r.length for r in found) > 0 and {r.piece for r in found} >= {0}
 
 
+def test_dedup_goes_by_texts_not_ids(spark):
+    """An id with two unrelated texts, and copies without an id: one row of each group of texts stays."""
+    import corpus_pipeline as pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " x"), (None, three), (None, three), (None, three + " x"), (5, one)]
+    found = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in found) == [(0, "c"), (1, "a"), (1, "b")]
+
+
 def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
     import corpus_pipeline as pipeline
 
