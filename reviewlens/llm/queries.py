@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from reviewlens.llm import (
     op1_toxicity, op2_minhash, op3_language, op4_sharding, op5_pieces, op6_fingerprints, op7_binary, op8_quality, op9_counts, op10_packing,
-    op11_search, op12_bytes,
+    op11_search, op12_bytes, op13_whitening,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_packing.query,
     "op11_ranked_search": op11_search.query,
     "op12_byte_bpe": op12_bytes.query,
+    "op13_whitening": op13_whitening.query,
 }
 CHECK_SQL = {
     "op2_near_duplicates": op2_minhash.check_sql(),
