@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions.vectors import dot
 from reviewlens.operators.folds import hash_bucket
 from reviewlens.operators.keys import number_keys
+from reviewlens.operators.ranking import ranking_factors  # noqa: F401  one name for all factorizations
 from reviewlens.session import cut_lineage
 
 # --- reduction ------------------------------------------------------------------------------------
@@ -251,56 +252,6 @@ def sample_negatives(pairs: DataFrame, items: DataFrame, user: str, item: str, e
     return named.select(user, item, "negative").join(own, [user, "negative"], "left_anti").select(user, item, "negative")
 
 
-def ranking_factors(
-    pairs: DataFrame, user: str, item: str, k: int, epochs: int = 100, rate: float = 0.5, regularization: float = 0.01,
-    seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """(user, vector), (item, vector) by Bayesian personalized ranking.
-
-    Every epoch compares each pair with one sampled item and moves both sides along the mean gradient,
-    so a user or item with very many pairs takes the same size of step as any other.
-    """
-    pairs = cut_lineage(pairs.select(user, item).distinct())
-    items = cut_lineage(number_keys(pairs.select(item).distinct(), item, "number"))
-
-    def centred(keys: DataFrame, key: str, salt: int) -> DataFrame:
-        start = _start(keys, key, k, F.lit(1.0), salt)
-        return start.withColumn("vector", F.transform("vector", lambda x: (x - 0.51) / k))
-
-    u = cut_lineage(centred(pairs.select(user).distinct(), user, seed))
-    v = cut_lineage(centred(items.select(item), item, seed + 1))
-    for epoch in range(epochs):
-        sampled = sample_negatives(pairs, items, user, item, epoch)
-        rows = (
-            sampled.join(u.withColumnRenamed("vector", "_u"), user)
-            .join(v.withColumnRenamed("vector", "_p"), item)
-            .join(v.select(F.col(item).alias("negative"), F.col("vector").alias("_q")), "negative")
-        )
-        rows = rows.withColumn("_d", F.zip_with("_p", "_q", lambda p, q: p - q))
-        rows = cut_lineage(
-            rows.withColumn("_z", 1 / (1 + F.exp(dot("_u", "_d")))).select(
-                user,
-                F.col(item).alias("_pos"),
-                F.col("negative").alias("_neg"),
-                F.transform("_d", lambda d: d * F.col("_z")).alias("_gu"),
-                F.transform("_u", lambda x: x * F.col("_z")).alias("_gi"),
-            )
-        )
-        item_moves = rows.select(F.col("_pos").alias(item), "_gi").unionByName(
-            rows.select(F.col("_neg").alias(item), F.transform("_gi", lambda x: -x).alias("_gi"))
-        )
-        u = cut_lineage(_move(u, rows.select(user, F.col("_gu").alias("_g")), user, rate, regularization))
-        v = cut_lineage(_move(v, item_moves.withColumnRenamed("_gi", "_g"), item, rate, regularization))
-    return u, v
-
-
-def _move(factors: DataFrame, moves: DataFrame, key: str, rate: float, regularization: float) -> DataFrame:
-    mean = moves.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector("_g"))).alias("_g"))
-    joined = factors.join(mean, key, "left")
-    stepped = F.zip_with("vector", "_g", lambda x, g: x + rate * (g - regularization * x))
-    return joined.select(key, F.coalesce(stepped, F.col("vector")).alias("vector"))
-
-
 def ranking_accuracy(sampled: DataFrame, u: DataFrame, v: DataFrame, user: str, item: str) -> DataFrame:
     """Share of sampled comparisons in which the user's own item scores higher."""
     rows = (

@@ -106,6 +106,25 @@ def f03(spark, sf_dir):
     return _show(X.attach_factors(out, items, "movie", "vector", "movie_factors", _zeros(8)), "critic_factors", "movie_factors")
 
 
+@query(
+    "f03_ranking_properties",
+    """WITH pairs AS (SELECT DISTINCT l_suppkey AS critic, l_partkey AS movie FROM lineitem)
+      SELECT (SELECT count(DISTINCT critic) FROM pairs) AS critics, (SELECT count(DISTINCT movie) FROM pairs) AS movies,
+             CAST(8 AS INTEGER) AS shortest, CAST(8 AS INTEGER) AS longest, true AS finite, true AS ranks_own_items_first""",
+)
+def f03_properties(spark, sf_dir):
+    """Every key has a finite vector of full length, and pairs score above items that their critic does not have."""
+    pairs = _pairs(spark, sf_dir).select("critic", "movie")
+    users, movies = X.ranking_factors(pairs, "critic", "movie", 8)
+    both = users.select("vector").union(movies.select("vector"))
+    shape = both.agg(F.min(F.size("vector")).alias("shortest"), F.max(F.size("vector")).alias("longest"),
+                     F.min(F.forall("vector", lambda x: F.abs(x) < 1e6)).alias("finite"))
+    numbers = number_keys(pairs.select("movie").distinct(), "movie", "number")
+    accuracy = X.ranking_accuracy(X.sample_negatives(pairs, numbers, "critic", "movie", 999), users, movies, "critic", "movie")
+    return shape.select(users.agg(F.count(F.lit(1))).scalar().alias("critics"), movies.agg(F.count(F.lit(1))).scalar().alias("movies"),
+                        "shortest", "longest", "finite", (accuracy.scalar() > 0.5).alias("ranks_own_items_first"))
+
+
 @query("f04_non_negative_factors")
 def f04(spark, sf_dir):
     """0/1 matrix of train. Unseen critics get zeros, unseen movies the overall mean of the movie factors."""
