@@ -1,7 +1,7 @@
 """Row-wise features: dates, bins, text measures, flags, scores.
 
-All functions return columns or add columns; none of them shuffles, except the three that impute or
-scale with a statistic of the train rows, which add one scalar subquery.
+All functions return columns or add columns; none of them shuffles, except those that impute or
+scale with a statistic of the train rows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.medians import medians
+from reviewlens.session import cut_lineage
+
 # The eight genres of the multi-hot, in their order.
 GENRES = ("Drama", "Comedy", "Action", "Mystery", "Fantasy", "Romance", "Horror", "Documentary")
 
@@ -59,11 +62,10 @@ def fill_missing(name: str) -> Column:
 
 
 def fill_train_median(df: DataFrame, train: DataFrame, name: str) -> DataFrame:
-    """Fill NULL with the train median; nothing is filled when train itself has no NULL."""
-    fill = train.agg(
-        F.when(F.count_if(F.col(name).isNull()) > 0, F.median(name)).alias("median")
-    ).scalar()
-    return df.withColumn(name, F.coalesce(F.col(name), fill))
+    """Fill NULL with the train median; nothing is filled when train itself has no NULL. NaN and infinities are no values of the median."""
+    column = cut_lineage(train.select(F.col(name).cast("double").alias("x")))
+    fill = medians(column.select(F.array("x").alias("x")), "x").get(0) if column.filter("x IS NULL").limit(1).count() else None
+    return df.withColumn(name, F.coalesce(F.col(name).cast("double"), F.lit(fill).cast("double")))
 
 
 def right_closed_bin(value: Column | str, edges: tuple[float, ...], default: int = 1) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.medians import finite, medians
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
@@ -27,24 +29,7 @@ def first_dims(v: str, n: int) -> Column:
 
 
 def repair_non_finite(df: DataFrame, train: DataFrame, vector: str, dims: int) -> DataFrame:
-    """Replace NaN, infinities and NULL entries by the train median of their dimension (0 if it has none).
-
-    The medians form one row of ``dims`` numbers, so they travel as a scalar.
-    """
-
-    def finite(x: Column) -> Column:
-        return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), x)
-
-    medians = train.agg(
-        F.array(
-            *[F.coalesce(F.median(finite(F.col(vector)[i].cast("double"))), F.lit(0.0)) for i in range(dims)]
-        ).alias("medians")
-    ).scalar()
-    return (
-        df.withColumn("_medians", medians)
-        .withColumn(
-            vector,
-            F.zip_with(F.col(vector), F.col("_medians"), lambda x, m: F.coalesce(finite(x.cast("double")), m)),
-        )
-        .drop("_medians")
-    )
+    """Replace NaN, infinities and NULL entries by the train median of their dimension (0 if it has none)."""
+    found = medians(train.select(F.slice(vector, 1, dims).alias("x")), "x")
+    listed = F.array(*[F.lit(float(found.get(i, 0.0))) for i in range(dims)])
+    return df.withColumn(vector, F.zip_with(F.col(vector), listed, lambda x, m: F.coalesce(finite(x), m)))
