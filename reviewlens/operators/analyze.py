@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-SCORE_CUTS = 200  # score ranges that are ranked independently
+from reviewlens.operators.running import running_totals
 
 
 def score_counts(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
@@ -16,36 +15,27 @@ def score_counts(df: DataFrame, by: list[str], label: str, score: str) -> DataFr
     )
 
 
-def auc_of_counts(counts: DataFrame, by: list[str], df: DataFrame, score: str, out: str = "auc") -> DataFrame:
+def auc_of_counts(counts: DataFrame, by: list[str], out: str = "auc") -> DataFrame:
     """Area under the ROC curve per group, ties averaged, NULL where only one class occurs.
 
-    A positive beats the negatives in lower score ranges, those below it in its own range, and half of
-    those with its score. The ranges are cut at quantiles of all scores, so each is a small part of
-    the distinct scores however they cluster; only their totals are ranked per group.
+    A positive beats the negatives with lower scores and half of those with its own: one running total over the distinct
+    scores, in as many ranges as there are partitions, however the scores cluster.
     """
-    cuts = df.agg(
-        F.percentile_approx(score, [i / SCORE_CUTS for i in range(1, SCORE_CUTS)], 10_000)
-    ).scalar()
-    ranged = counts.withColumn("_cuts", cuts).withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("score"))), F.lit(0))
-    )
-    below = Window.partitionBy(*by, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    totals = inside.groupBy(*by, "_range").agg(
-        F.sum("pos").alias("_pos"),
-        F.sum("neg").alias("_neg"),
-        F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("_wins"),
-    )
-    # At most SCORE_CUTS rows per group.
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_lower", F.coalesce(F.sum("_neg").over(before), F.lit(0)))
-    wins = F.sum(F.col("_wins") + F.col("_pos") * F.col("_lower"))
-    pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
-    return totals.groupBy(*by).agg(F.try_divide(wins, pairs).alias(out))
+    below = running_totals(counts, by, "score", F.lit(""), {"_below": F.col("neg")})
+    wins = F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2))
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return below.groupBy(*by).agg(F.try_divide(wins, pairs).alias(out))
+
+
+def average_rank(df: DataFrame, by: list[str], score: str) -> DataFrame:
+    """(by, score, n, average_rank): rank of every distinct value in its group from 1, equal values sharing the mean of theirs."""
+    counts = df.groupBy(*by, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counts, by, "score", F.lit(""), {"_before": F.col("n")})
+    return ranked.select(*by, "score", "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("average_rank"))
 
 
 def auc(df: DataFrame, by: list[str], label: str, score: str, out: str = "auc") -> DataFrame:
-    return auc_of_counts(score_counts(df, by, label, score), by, df, score, out)
+    return auc_of_counts(score_counts(df, by, label, score), by, out)
 
 
 def segment_summary(
@@ -70,7 +60,7 @@ def segment_summary(
         F.sum("pos").alias("_pos"),
         F.sum(F.when(F.col("score") >= 0.5, F.col("pos") + F.col("neg")).otherwise(0)).alias("_hits"),
     )
-    areas = auc_of_counts(counts, by, df, score)
+    areas = auc_of_counts(counts, by)
     joined = summary.filter(F.col("n") >= min_count).alias("s").join(
         areas.alias("a"),
         (F.col("s.segment") == F.col("a.segment")) & F.col("s.value").eqNullSafe(F.col("a.value")),

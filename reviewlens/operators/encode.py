@@ -62,12 +62,12 @@ def time_ordered_target_encode(
     out: str,
     m: float = 10,
     prior: Column | None = None,
-    hot_rows: int = 1_000_000,
+    parts: int | None = None,
 ) -> DataFrame:
     """Smoothed mean over the strictly earlier rows of the category; no history gives the prior."""
     prior = mean_of(train, target) if prior is None else prior
     df = running_totals(
-        train, [key], order, tie, {"_past_sum": F.col(target), "_past_count": F.lit(1)}, hot_rows=hot_rows
+        train, [key], order, tie, {"_past_sum": F.col(target), "_past_count": F.lit(1)}, parts
     )
     known = F.col(key).isNotNull() & (F.col("_past_count") > 0)
     value = F.when(known, smoothed(F.col("_past_sum"), F.col("_past_count"), prior, m)).otherwise(prior)
@@ -79,11 +79,11 @@ def with_bin(df: DataFrame, name: str) -> DataFrame:
 
 
 def prior_rate(
-    train: DataFrame, key: str, target: str, order: str, tie: Column, hot_rows: int = 1_000_000
+    train: DataFrame, key: str, target: str, order: str, tie: Column, parts: int | None = None
 ) -> DataFrame:
     """Count and unsmoothed positive rate of the earlier rows with the same key."""
     df = running_totals(
-        train, [key], order, tie, {"_past_sum": F.col(target), "prior_count": F.lit(1)}, hot_rows=hot_rows
+        train, [key], order, tie, {"_past_sum": F.col(target), "prior_count": F.lit(1)}, parts
     )
     known = F.col(key).isNotNull()
     return (

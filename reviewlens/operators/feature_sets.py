@@ -78,7 +78,10 @@ def feature_sets(available: list[str] | None = None) -> dict[str, list[str]]:
         "v2_nmf": (*v2, "nmf_critic", "nmf_movie"),
         "v2_svd": (*v2, "svd_critic", "svd_movie"),
         "v2_all": everything,
-        "unknown": without_movie_identity(everything),
+        "known": everything,
+        # Of a movie that train does not have, the vectors hold their defaults.
+        "unknown": [*without_movie_identity(everything), *MOVIE_VECTORS],
+        "unknown_v2": without_movie_identity(v2),
         "best": best,
         "best_ranking": (*best, "ranking_critic", "ranking_movie"),
     }
@@ -217,14 +220,15 @@ def add_vector_pca(tables: Tables, vectors: DataFrame, dims: int, k: int = PCA_C
     return _attach(tables, reduced, "movie", "vector_pca", F.array(*[F.lit(float(x)) for x in missing]))
 
 
-def add_ranking(tables: Tables, k: int = RANKING_FACTORS, epochs: int = 100) -> Tables:
-    """Ranking factors of the pairs of both sides, and their dot product."""
+def add_ranking(tables: Tables, k: int = RANKING_FACTORS, epochs: int = 100, dot_only: bool = False) -> Tables:
+    """Ranking factors of the pairs of both sides, and their dot product; ``dot_only`` keeps the product alone."""
     pairs = X.interactions([tables.train, tables.test], "critic", "movie")
     critics, movies = X.ranking_factors(pairs, "critic", "movie", k, epochs)
     zeros = F.array_repeat(F.lit(0.0), k)
     tables = _attach(tables, critics, "critic", "ranking_critic", zeros)
     tables = _attach(tables, movies, "movie", "ranking_movie", zeros)
-    return tables.each(lambda df, _: df.withColumn("ranking_dot", X.dot("ranking_critic", "ranking_movie")))
+    vectors = ("ranking_critic", "ranking_movie") if dot_only else ()
+    return tables.each(lambda df, _: df.withColumn("ranking_dot", X.dot("ranking_critic", "ranking_movie")).drop(*vectors))
 
 
 def add_two_hop(

@@ -48,7 +48,7 @@ def last_years(df: DataFrame, year: str, n: int) -> DataFrame:
     )
 
 
-def group_folds(df: DataFrame, key: str, k: int, out: str = "fold", hot_rows: int = 1_000_000) -> DataFrame:
+def group_folds(df: DataFrame, key: str, k: int, out: str = "fold", parts: int | None = None) -> DataFrame:
     """(key, size, fold): whole groups, dealt out by falling size in a back-and-forth order.
 
     The position of a group is the number of larger groups plus its position among the groups of its
@@ -57,7 +57,7 @@ def group_folds(df: DataFrame, key: str, k: int, out: str = "fold", hot_rows: in
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("_hash", F.md5(F.col(key).cast("string")))
     within = running_totals(
-        sizes, ["size"], "_hash", F.col("_hash"), {"_at": F.lit(1)}, piece=F.substring("_hash", 1, 4), hot_rows=hot_rows
+        sizes, ["size"], "_hash", F.col("_hash"), {"_at": F.lit(1)}, parts
     )
     # One row per distinct size; the sizes add up to the number of rows, so there are few of them.
     per_size = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("_groups"))
@@ -71,12 +71,12 @@ def group_folds(df: DataFrame, key: str, k: int, out: str = "fold", hot_rows: in
 
 
 def stratified_folds(
-    df: DataFrame, label: str, hex_hash: Column, k: int, out: str = "fold", hot_rows: int = 1_000_000
+    df: DataFrame, label: str, hex_hash: Column, k: int, out: str = "fold", parts: int | None = None
 ) -> DataFrame:
     """Rows of each label dealt out in turn, in hash order."""
     hashed = df.withColumn("_hash", hex_hash)
     dealt = running_totals(
-        hashed, [label], "_hash", F.col("_hash"), {"_at": F.lit(1)}, piece=F.substring("_hash", 1, 4), hot_rows=hot_rows
+        hashed, [label], "_hash", F.col("_hash"), {"_at": F.lit(1)}, parts
     )
     return dealt.withColumn(out, F.pmod(F.col("_at"), F.lit(k)).cast("int")).drop("_at", "_hash")
 

@@ -1,78 +1,41 @@
-"""Exclusive running totals per group that stay parallel when one group holds most of the rows."""
+"""Exclusive running totals per group, as a scan of two levels over range partitions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TIE_PREFIX = 3  # hex digits: a hot (group, order value) is cut into 4096 pieces
+from reviewlens.session import cut_lineage
 
 
 def running_totals(
-    df: DataFrame,
-    by: list[str],
-    order: str,
-    tie: Column,
-    sums: dict[str, Column],
-    piece: Column | None = None,
-    hot_rows: int = 1_000_000,
+    df: DataFrame, by: list[str], order: str, tie: Column, sums: dict[str, Column], parts: int | None = None,
 ) -> DataFrame:
     """Add, for each row, the sums over the rows before it in its group.
 
-    Rows are ordered by ``order`` (NULL last) and then by ``tie``, a hex hash of the row key. A group
-    up to ``hot_rows`` rows is one window partition. A larger group is cut into pieces along the
-    order; the window runs inside each piece and every row adds the total of the earlier pieces. A
-    piece is one order value and one hash prefix, or ``piece``, any coarser column that never
-    decreases along the order (the day of a timestamp, the prefix of a hash).
+    Rows are ordered by ``order`` (NULL last) and then by ``tie``, a hash of the row key. They are dealt once into ranges of
+    (group, order, tie), so a group with many rows is several parts, whatever its order values are. The window runs inside the
+    group's share of a part; only the first group of a part has rows before it elsewhere, and adds the totals of its earlier
+    parts. The rows are read for the ranges and once more to be written; all else reads what was written. ``parts`` is the
+    number of ranges (by default that of shuffle partitions).
     """
     # A struct compares equal where its NULL fields do, so rows without a key form a group too.
     group = F.struct(*by) if by else F.lit(0)
-    work = df.select(
-        "*",
-        tie.alias("_tie"),
-        group.alias("_group"),
-        (F.col(order) if piece is None else piece).alias("_cut"),
-        *[value.alias(f"_v_{name}") for name, value in sums.items()],
-    ).withColumn("_sub", F.substring("_tie", 1, TIE_PREFIX) if piece is None else F.lit(""))
-    piece_id = F.concat_ws("/", F.coalesce(F.col("_cut").cast("string"), F.lit("~")), F.col("_sub"))
-
-    # At most rows / hot_rows groups are hot, so this table is small whatever the data.
-    hot = F.broadcast(
-        work.groupBy("_group")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select("_group", F.lit(True).alias("_hot"))
-    )
-    pieces = (
-        work.join(hot, "_group")
-        .groupBy("_group", "_cut", "_sub")
-        .agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
-    )
-    cuts = (
-        pieces.groupBy(F.col("_group").alias("_cut_group"), F.col("_cut").alias("_cut_value"))
-        .agg(*[F.sum(f"_p_{n}").alias(f"_c_{n}") for n in sums])
-        .select("*", *[_before(f"_c_{n}", ["_cut_group"], ["_cut_value"], f"_o_{n}") for n in sums])
-    )
-    offsets = (
-        pieces.select("*", *[_before(f"_p_{n}", ["_group", "_cut"], ["_sub"], f"_s_{n}") for n in sums])
-        .join(
-            cuts,
-            (F.col("_group") == F.col("_cut_group")) & F.col("_cut").eqNullSafe(F.col("_cut_value")),
-        )
-        .select(
-            "_group",
-            piece_id.alias("_piece"),
-            *[(F.col(f"_s_{n}") + F.col(f"_o_{n}")).alias(f"_off_{n}") for n in sums],
-        )
-    )
-    rows = work.join(hot, "_group", "left").withColumn("_piece", F.when(F.col("_hot"), piece_id))
-    rows = rows.select(
-        "*", *[_before(f"_v_{n}", ["_group", "_piece"], [order, "_tie"], f"_in_{n}") for n in sums]
-    ).join(offsets, ["_group", "_piece"], "left")
-    return rows.select(
-        *df.columns,
-        *[(F.col(f"_in_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in sums],
+    work = df.select("*", tie.alias("_tie"), group.alias("_group"), *[value.alias(f"_v_{name}") for name, value in sums.items()])
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = work.repartitionByRange(parts, F.col("_group"), F.col(order).asc_nulls_last(), F.col("_tie"))
+    placed = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+
+    totals = placed.groupBy("_group", "_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = totals.select(
+        "_group", "_part", *[_before(f"_t_{n}", ["_group"], ["_part"], f"_off_{n}") for n in sums],
+        F.row_number().over(Window.partitionBy("_group").orderBy("_part")).alias("_nth"),
     )
+    # A part has one group at most that began in an earlier part, so these are no more rows than parts.
+    carried = F.broadcast(earlier.filter("_nth > 1").drop("_nth"))
+    rows = placed.select("*", *[_before(f"_v_{n}", ["_part", "_group"], [order, "_tie"], f"_in_{n}") for n in sums])
+    return rows.join(carried, ["_group", "_part"], "left").select(
+        *df.columns, *[(F.col(f"_in_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in sums])
 
 
 def _before(value: str, by: list[str], order: list[str], name: str) -> Column:

@@ -42,14 +42,16 @@ def a11_segments(spark, sf_dir):
       - count(*) / 2.0 + 0.5)::DOUBLE AS average_rank FROM reviews GROUP BY pred_c"""),
 )
 def w7(spark, sf_dir):
-    from reviewlens.operators.running import running_totals
+    return A.average_rank(reviews(spark, sf_dir), [], "pred_c")
 
-    counts = reviews(spark, sf_dir).groupBy(F.col("pred_c").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(
-        counts, [], "score", F.md5(F.col("score").cast("string")), {"_before": F.col("n")},
-        piece=F.floor(F.col("score") * 1024),
-    )
-    return ranked.select("score", "n", (F.col("_before") + (F.col("n") + 1) / 2).alias("average_rank"))
+
+@query(
+    "w7_average_rank_in_groups",
+    over_reviews("""SELECT publisher, pred_c AS score, count(*) AS n, (sum(count(*)) OVER (PARTITION BY publisher ORDER BY pred_c)
+      - count(*) / 2.0 + 0.5)::DOUBLE AS average_rank FROM reviews GROUP BY publisher, pred_c"""),
+)
+def w7_groups(spark, sf_dir):
+    return A.average_rank(reviews(spark, sf_dir), ["publisher"], "pred_c")
 
 
 def _segments_sql(threshold, min_count):

@@ -10,8 +10,8 @@ from reviewlens.operators import model as M
 from reviewlens.operators.factor import fit_projection, project, random_projection
 from reviewlens.operators.similar import join_vectors
 from reviewlens.plans.registry import query
-from reviewlens.plans.tables import KEY, load, reviews, tie
-from reviewlens.session import scratch_path
+from reviewlens.plans.tables import KEY, KEY_SQL, load, over_reviews, reviews, tie
+from reviewlens.session import cut_lineage, scratch_path
 from reviewlens.sources.io import exists
 
 YEARS = [1998, 1999, 2000]
@@ -166,6 +166,46 @@ def m11_best(spark, sf_dir):
     return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees()))
 
 
+_UNSEEN = "movie % 10 = 0"  # every movie of the held-out year is in train, so these are taken out of it
+
+
+@query(
+    "m11_unknown_movie_inputs",
+    over_reviews(f"""SELECT {KEY_SQL}, round(coalesce((t.s + 10 * g.m) / (t.n + 10), g.m), 6) AS critic_te, 1 AS distinct_movie_vectors, 0 AS known_only
+      FROM reviews LEFT JOIN (SELECT critic, sum(target) AS s, count(*) AS n FROM train WHERE movie % 10 <> 0 GROUP BY critic) t USING (critic),
+      (SELECT avg(target) AS m FROM train WHERE movie % 10 <> 0) g WHERE NOT is_train AND movie % 10 = 0"""),
+)
+def m11_unknown(spark, sf_dir):
+    """Held-out rows of movies that train lacks, with the set for unknown movies: all have the same default movie vectors."""
+    raw = _raw(spark, sf_dir)
+    tables = S.Tables(raw.train.filter(f"NOT ({_UNSEEN})"), raw.test.filter(_UNSEEN))
+    tables = S.add_rest(S.add_baseline(tables, tie()), tie())
+    sets = S.feature_sets(tables.test.columns)
+    rows = cut_lineage(tables.test.select(*KEY, *[n for n in sets["unknown"] if n not in KEY]))
+    vectors = rows.select(F.struct(*[F.transform(v, lambda x: F.round(x, 9)) for v in S.MOVIE_VECTORS]).alias("v")).distinct()
+    known_only = len(set(sets["unknown"]) & set(S.MOVIE_IDENTITY)) + len(set(sets["unknown"]) - set(sets["known"]))
+    return rows.select(*KEY, F.round("critic_te", 6).alias("critic_te"), vectors.agg(F.count(F.lit(1)).cast("int")).scalar().alias("distinct_movie_vectors"),
+                       F.lit(known_only).alias("known_only"))
+
+
+@query("m11_best_with_ranking")
+def m11_best_ranking(spark, sf_dir):
+    """The largest base: baseline, vector components, and 64 ranking factors of both sides."""
+    tables, _ = _baseline(spark, sf_dir)
+    tables = S.add_ranking(S.add_vector_pca(tables, _vectors(spark, sf_dir), 64)).written()
+    names = S.feature_sets(tables.test.columns)["best_ranking"]
+    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees()))
+
+
+@query("m12_ranking_dot_only")
+def m12_dot(spark, sf_dir):
+    """The best base with the product of the ranking factors, and without the factors."""
+    tables, _ = _baseline(spark, sf_dir)
+    tables = S.add_ranking(S.add_vector_pca(tables, _vectors(spark, sf_dir), 64), dot_only=True).written()
+    names = [*S.feature_sets(tables.test.columns)["best"], "ranking_dot"]
+    return _shown(M.fit_score(tables.train, tables.test, names, KEY, M.boosted_trees()))
+
+
 @query("m12_two_hop_and_ranking_experiment")
 def m12(spark, sf_dir):
     tables, names = _baseline(spark, sf_dir)
