@@ -37,8 +37,19 @@ _BLOCK_BYTES = 2 << 20
 # ---------------------------------------------------------------- words and windows
 
 
+#: Words whose features are held at full width at a time.
+_WORDS = 1 << 14
+
+
 def word_features(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, hashes: np.ndarray):
     """(word bucket, n-gram buckets end to end, where each word's begin) of words given by their bytes."""
+    parts = [_some_features(data, *(x[i:i + _WORDS] for x in (begins, sizes, hashes))) for i in range(0, len(hashes), _WORDS)]
+    word, gram, gram_at = zip(*parts)
+    before = np.cumsum([0, *map(len, gram)])
+    return np.concatenate(word), np.concatenate(gram), np.concatenate([at + n for at, n in zip(gram_at, before)])
+
+
+def _some_features(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, hashes: np.ndarray):
     full = sizes + 2
     at = np.concatenate([[0], np.cumsum(full)])
     chars = np.empty(at[-1], np.uint32)
@@ -59,11 +70,11 @@ def word_features(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, hashe
         h *= np.uint32(0x85EBCA6B)
         own = word[:len(h)]
         inside = own == word[n - 1:]
-        grams.append((h[inside] >> np.uint32(16)).astype(np.int64) % GRAM_BUCKETS)
+        grams.append((h[inside] >> np.uint32(16)).astype(np.int32) % GRAM_BUCKETS)
         owner.append(own[inside])
     gram, own = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(own, kind="stable")
-    return (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), gram[order], np.searchsorted(own[order], np.arange(len(sizes)))
+    return (hashes % np.uint64(WORD_BUCKETS)).astype(np.int32), gram[order], np.searchsorted(own[order], np.arange(len(sizes)))
 
 
 def window_starts(n_words: int) -> np.ndarray:
@@ -76,7 +87,20 @@ def split(data: np.ndarray, at: np.ndarray):
     hashes, row_at, begins, sizes = C.word_spans(data, at, lower=True)
     unique, first, group = np.unique(hashes, return_index=True, return_inverse=True)
     features = word_features(data, begins[first], sizes[first], unique) if len(unique) else None
-    return features, group, row_at
+    return features, group.astype(np.int32), row_at
+
+
+class Windows:
+    """The places of the words of windows, made when rows of it are asked for."""
+
+    def __init__(self, group: np.ndarray, starts: np.ndarray):
+        self.group, self.starts = group, starts
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, own) -> np.ndarray:
+        return self.group[np.minimum(self.starts[own][:, None] + np.arange(WINDOW), len(self.group) - 1)]
 
 
 def windows_of(row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,12 +142,17 @@ class Network:
 
     def vectors(self, features) -> np.ndarray:
         word, gram, gram_at = features
-        n = np.diff(np.append(gram_at, len(gram)))
-        mean = np.add.reduceat(self.p["grams"][gram], gram_at) / np.sqrt(n)[:, None].astype(np.float32)
-        return np.concatenate([self.p["words"][word], mean], axis=1)
+        ends = np.append(gram_at, len(gram))
+        out = np.empty((len(word), WORD_DIM + GRAM_DIM), np.float32)
+        out[:, :WORD_DIM] = self.p["words"][word]
+        for i in range(0, len(word), _WORDS):
+            own = ends[i:i + _WORDS + 1]
+            some = np.add.reduceat(self.p["grams"][gram[own[0]:own[-1]]], own[:-1] - own[0])
+            out[i:i + _WORDS, WORD_DIM:] = some / np.sqrt(np.diff(own))[:, None].astype(np.float32)
+        return out
 
     def score(self, features, index: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Logits of windows; ``index`` (windows, WINDOW) names words, those past ``counts`` are padding."""
+        """Logits of windows; ``index`` (windows, WINDOW; an array or ``Windows``) names words, those past ``counts`` are padding."""
         vectors = self.vectors(features)
         tables = {s: vectors @ self.p[f"x{s}"] + self.p[f"c{s}"] for s in "fb"}
         out = np.empty(len(index), np.float32)
@@ -252,10 +281,8 @@ class Model:
         out = np.full(len(at) - 1, -np.inf)
         features, group, row_at = split(data, at)
         rows, starts, counts = windows_of(row_at)
-        for i in range(0, len(rows), 1 << 15):
-            own = slice(i, i + (1 << 15))
-            index = group[np.minimum(starts[own, None] + np.arange(WINDOW), len(group) - 1)]
-            np.maximum.at(out, rows[own], self.network.score(features, index, counts[own]))
+        if features is not None:
+            np.maximum.at(out, rows, self.network.score(features, Windows(group, starts), counts))
         return out
 
     def scores(self, column: pa.Array):
@@ -289,13 +316,13 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     """Fit on documents with 0/1 labels; every fifth is kept for the calibration."""
     if not len(texts) or toxic.min() == toxic.max():
         return Model(None)
-    data, at = C.text_bytes(pa.array(texts, pa.large_string()))
-    features, group, row_at = split(data, at)
+    size = len(texts)
+    features, group, row_at = split(*C.text_bytes(pa.array(texts, pa.large_string())))
     rows, starts, counts = windows_of(row_at)
     if features is None:
         return Model(None)
-    index = group[np.minimum(starts[:, None] + np.arange(WINDOW), len(group) - 1)]
-    fold = np.arange(len(texts)) % 5 == 4
+    index = Windows(group, starts)
+    fold = np.arange(size) % 5 == 4
     rng = np.random.default_rng(11)
     network = Network()
     adam = Adam(network.p)
@@ -308,7 +335,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
             positive = np.flatnonzero(bad)
         else:  # the highest window of each toxic document, and those near it
             score = network.score(features, index, counts)
-            top = np.full(len(texts), -np.inf)
+            top = np.full(size, -np.inf)
             np.maximum.at(top, rows, score)
             positive = np.flatnonzero(bad & (score >= np.minimum(top[rows], np.maximum(top[rows] - 2.0, 1.0))))
         half = EPOCH_WINDOWS // 2
@@ -325,7 +352,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
             g = network.gradients(features, index[own], counts[own], toxic[rows[own]].astype(np.float32), weight[i:i + BATCH] / len(own))
             adam.step(g, RATE * (0.5 if epoch >= FIRST_EPOCHS + LATER_EPOCHS - 2 else 1))
     model = Model(network)
-    top = np.full(len(texts), -np.inf)
+    top = np.full(size, -np.inf)
     np.maximum.at(top, rows, network.score(features, index, counts))
     own = fold & np.isfinite(top)
     if own.any() and toxic[own].min() != toxic[own].max():
@@ -351,7 +378,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # The chosen labels are bounded by the sample size, so they go to the documents and not the other way round.
     found = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    return train([r.text for r in found], np.array([r.toxic for r in found], np.int64))
+    toxic, texts = np.array([r.toxic for r in found], np.int64), [r.text for r in found]
+    del found
+    return train(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
