@@ -108,17 +108,18 @@ def verdict(rules: list[tuple[str, float | None, float | None]] = RULES) -> Colu
 
 def quality(docs: DataFrame, text: str = "text", rules: list[tuple[str, float | None, float | None]] = RULES) -> DataFrame:
     """All measures, ``base_failed`` and ``kept`` beside the input's columns."""
+    # A column that is not deterministic keeps the optimizer from pulling a condition on the results, with every measure
+    # written out in it many times over, below the projections that compute the measures once.
+    measured = measures(docs, text).withColumn("_once", F.monotonically_increasing_id())
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measures(docs, text).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    judged = measured.withColumn("base_failed", base_failed & (F.col("_once") >= 0))
+    return judged.withColumn("kept", ~base_failed & verdict(rules) & (F.col("_once") >= 0)).drop("_once")
 
 
 def passing(docs: DataFrame, text: str = "text", rules: list[tuple[str, float | None, float | None]] = RULES) -> DataFrame:
     """The rows that are kept, with the input's columns whatever their names are."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("text"))
-    # A column that is not deterministic keeps the optimizer from pulling the condition, with every measure written out
-    # in it many times over, below the projections that compute the measures once.
-    judged = quality(held, "text", rules).withColumn("_row", F.monotonically_increasing_id())
-    return judged.filter("kept and _row >= 0").select("_doc.*")
+    return quality(held, "text", rules).filter("kept").select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
