@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions import columns as C
 from reviewlens.operators import encode as E
+from reviewlens.operators import fold_features as FF
 from reviewlens.operators import folds as K
 from reviewlens.plans.registry import query
 from reviewlens.plans.tables import KEY, KEY_SQL, TIE_SQL, load, over_reviews, reviews, tie
@@ -288,6 +289,42 @@ def m03(spark, sf_dir):
     return out.select("fold", *KEY, F.round("critic_te", 6).alias("critic_te"))
 
 
+_FOLDS_SQL = "folds AS (SELECT * FROM (VALUES (0, 1998), (1, 1999), (2, 2000)) t(fold, val_year))"
+_FOLD_MEANS = {"critic": 10, "movie": 10, "publisher": 10, "production_company": 10}
+
+
+def _fold_stats_sql(column):
+    return (f"s_{column} AS (SELECT fold, {column}, sum(target) AS s, count(*) AS n FROM folds JOIN train t ON t.review_year < val_year GROUP BY 1, 2)")
+
+
+def _fold_te_sql(column):
+    return f"(coalesce(s_{column}.s, 0) + {_FOLD_MEANS[column]} * g) / (coalesce(s_{column}.n, 0) + {_FOLD_MEANS[column]})"
+
+
+@query(
+    "m03_fold_local_features",
+    over_reviews(
+        f"""SELECT fold, role, {KEY_SQL}, {", ".join(f"round({_fold_te_sql(c)}, 6) AS {c}_te" for c in _FOLD_MEANS)},
+          coalesce(s_critic.n, 0) AS critic_review_count, coalesce(s_movie.n, 0) AS movie_review_count,
+          round(coalesce(s_critic.s / s_critic.n, g), 6) AS critic_avg_fresh,
+          round(coalesce({_fold_te_sql("movie")} / nullif(coalesce(s_critic.s / s_critic.n, g), 0), 1), 6) AS ratio_movie_te_to_critic,
+          round({_fold_te_sql("movie")} / g, 6) AS ratio_movie_te_to_global, round({_fold_te_sql("critic")} / g, 6) AS ratio_critic_te_to_global
+        FROM (SELECT fold, v.*, CASE WHEN review_year = val_year THEN 'validate' ELSE 'train' END AS role FROM folds JOIN train v ON v.review_year <= val_year) r
+        JOIN (SELECT fold, avg(target) AS g FROM folds JOIN train t ON t.review_year < val_year GROUP BY fold) p USING (fold)
+        {" ".join(f"LEFT JOIN s_{c} USING (fold, {c})" for c in _FOLD_MEANS)}""",
+        _FOLDS_SQL, *[_fold_stats_sql(c) for c in _FOLD_MEANS],
+    ),
+)
+def m03_features(spark, sf_dir):
+    """Encodings, counts and ratios of all train and validation rows of every fold."""
+    train, _, _ = _sides(spark, sf_dir)
+    folds = K.year_fold_table(spark, [1998, 1999, 2000])
+    rows = K.time_folds(train, "review_year", folds).drop("val_year")
+    out = FF.fold_encodings(rows, train, folds, _FOLD_MEANS, ["critic", "movie"], "target", "review_year", ("critic", "movie"))
+    names = [*(f"{c}_te" for c in _FOLD_MEANS), "critic_avg_fresh", "ratio_movie_te_to_critic", "ratio_movie_te_to_global", "ratio_critic_te_to_global"]
+    return out.select("fold", "role", *KEY, "critic_review_count", "movie_review_count", *[F.round(n, 6).alias(n) for n in names])
+
+
 @query(
     "j02_statistic_lookup",
     over_reviews(f"""SELECT {KEY_SQL}, round(coalesce(r, 0.25::DOUBLE), 6) AS rating_rate FROM reviews
