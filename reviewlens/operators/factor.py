@@ -42,21 +42,21 @@ def gram(df: DataFrame, vector: str) -> np.ndarray:
 
 
 def fit_projection(df: DataFrame, vector: str, k: int, centre: bool, weight: str | None = None) -> Projection:
-    """Principal axes (``centre``) or leading singular vectors of the rows, from one pass over them.
+    """Principal axes (``centre``) or leading singular vectors of the rows.
 
+    Rows are centred before they are multiplied: taking the means off the products would cancel most digits of large values.
     ``weight`` counts a row several times, so that a vector shared by many review rows is read once.
     The sign of an axis is that of its largest loading.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(F.col(vector).cast("array<double>").alias("_v"), w.alias("_w"))
-    g = gram(rows.select(F.transform("_v", lambda x: x * F.sqrt("_w")).alias("_s")), "_s")
-    mean = np.zeros(len(g))
+    mean = None
     if centre:
-        stats = rows.agg(
-            vector_to_array(Summarizer.mean(array_to_vector("_v"), F.col("_w"))).alias("m"), F.sum("_w").alias("n")
-        ).first()
-        mean = np.array(stats["m"])
-        g = g - stats["n"] * np.outer(mean, mean)
+        mean = np.array(rows.agg(vector_to_array(Summarizer.mean(array_to_vector("_v"), F.col("_w"))).alias("m")).first().m)
+        listed = F.array(*[F.lit(float(m)) for m in mean])
+        rows = rows.withColumn("_v", F.zip_with("_v", listed, lambda x, m: x - m))
+    g = gram(rows.select(F.transform("_v", lambda x: x * F.sqrt("_w")).alias("_s")), "_s")
+    mean = np.zeros(len(g)) if mean is None else mean
     axes = np.linalg.eigh(g)[1][:, ::-1][:, :k]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     return Projection(mean, axes)

@@ -346,3 +346,25 @@ def test_learners_keep_their_own_settings(spark):
     assert [default(f, "iterations") for f in (feature_sets.add_nmf, feature_sets.add_rest)] == [50, 50]
     assert [default(f, "epochs") for f in (factor.ranking_factors, feature_sets.add_ranking)] == [100, 100]
     assert default(text._parts, "iterations") == 20
+
+
+def test_axes_of_vectors_far_from_zero(spark):
+    """Means of 1e8 against deviations of 1: products of uncentred rows would leave no digit of them."""
+    rng = np.random.default_rng(8)
+    x = 1e8 + rng.normal(size=(200, 3)) * np.array([3.0, 1.0, 0.2])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, v array<double>")
+    found = X.fit_projection(df, "v", 2, centre=True).matrix
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    assert np.allclose(np.abs((found * axes).sum(axis=0)), 1, atol=1e-9)
+
+
+def test_running_totals_of_one_group_of_distinct_times(spark):
+    """One group, no ties in time: every range holds its share of it."""
+    df = spark.range(20_000).select(F.lit("one").alias("k"), F.timestamp_micros(F.pmod(F.xxhash64("id"), F.lit(1 << 50))).alias("at"), "id")
+    got = running_totals(df, ["k"], "at", F.lpad(F.col("id").cast("string"), 8, "0"), {"n": F.lit(1), "s": F.col("id")}, parts=8).orderBy("at", "id").collect()
+    total = 0
+    for i, r in enumerate(got):
+        assert (r.n, r.s) == (i, total)
+        total += r.id
+    shares = df.repartitionByRange(8, "k", "at").groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) == 8 and max(r["count"] for r in shares) < 5000
