@@ -6,12 +6,12 @@ minhashes are computed for as many tables of ``2 * PER_SIDE`` minhashes, about t
 pair of similarity s is in no common table with probability 1 - (1 - (1 - s**PER_SIDE)**SIDE)**2: 9e-5 at s = 0.8 and
 3e-6 at 0.85 for the defaults.
 
-Steps: equal shingle sets become one node; tables with two nodes or more are kept; in each, every node is compared with the
-smallest one, so that a large group meets the same few leaders in all its tables. Nodes of one component are not compared
-again, nor is the smallest node of a table, which has met all others: where the rest of a table still holds several
-components, ``LEADERS`` more leaders are picked by a hash of node and table, so that a pair meets in many of its common
-tables. The number of these pairs is linear in the table sizes. What is still unmet, nodes of different components in one
-table, is compared in full: blocks of such nodes meet inside tasks, and only links leave them.
+Steps: equal shingle sets become one node; tables with two nodes or more are kept. Every node is first compared with one other: of
+the smallest nodes of its tables the one that most of them share, so that a large group meets few leaders. Where a table then
+holds several components, every node meets its smallest node and ``LEADERS`` leaders picked by a hash of node and table, so that
+a pair meets in many of its common tables, unless one component holds both. The number of these pairs is linear in the table
+sizes. What is still unmet, nodes of different components in one table, is compared in full: blocks of such nodes meet inside
+tasks, and only links leave them.
 Every link is confirmed on the full shingle sets, and no two components that share a table are left unmet.
 
 Null or empty text, and text without words: no shingles, linked with nothing, a component of its own. Repeated rows (also
@@ -115,7 +115,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _pairs(members: DataFrame, picks: list[int], percent: int) -> DataFrame:
-    """(a, b) of each member and the leaders of its table, if their sizes allow a link; pick 0 is the smallest node."""
+    """(a, b, tables) of each member and the leaders of its tables, if their sizes allow a link; pick 0 is the smallest node."""
     window = Window.partitionBy("key")
     node = F.struct("node", "n", *(["label"] if "label" in members.columns else []))
     led = members
@@ -130,7 +130,7 @@ def _pairs(members: DataFrame, picks: list[int], percent: int) -> DataFrame:
         near = 100 * F.least(lead["n"], "n") >= percent * F.greatest(lead["n"], "n")
         some = led.filter(apart & near).select(F.least(lead["node"], "node").alias("a"), F.greatest(lead["node"], "node").alias("b"))
         found = some if found is None else found.union(some)
-    return found.distinct()
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tables"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,8 +193,8 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     leaders = named.groupBy("key").agg(*[
         F.min(F.struct(F.xxhash64("node", "key", F.lit(p)).alias("h"), "node")).getField("node").alias(f"lead{p}")
         for p in range(1, LEADERS + 1)
-    ])
-    unmet = named.join(leaders, "key").filter(~F.col("node").isin(*[F.col(f"lead{p}") for p in range(1, LEADERS + 1)]))
+    ], F.min("node").alias("lead0"))
+    unmet = named.join(leaders, "key").filter(~F.col("node").isin(*[F.col(f"lead{p}") for p in range(LEADERS + 1)]))
     several = unmet.groupBy("key").agg(F.min("node").alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     unmet = C.saved(unmet.join(several, "key").select("node", "n", "label", "first"), "unmet")
     groups = graph.components(unmet, "node", "first").withColumnRenamed("label", "group")
@@ -238,14 +238,15 @@ def text_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # Rows that share a key by chance: the digest of the row has to be the node's, too.
     texts = docs.withColumn("row", row_key()).join(one_each, "row")
     sets = C.saved(shingle_sets(texts, width).filter("digest = found").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    links = C.saved(_links(_pairs(shared, [0], percent), sets, percent), "links")
+    # A node has a smallest node in each of its tables; the one that most of them share is met first.
+    first = _pairs(shared, [0], percent).groupBy("b").agg(F.max_by("a", F.struct("tables", -F.col("a"))).alias("a"))
+    links = C.saved(_links(first, sets, percent), "links")
     labels = graph.components(links)
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = Window.partitionBy("key")
-    rest = named.withColumn("_first", F.min("node").over(several)).filter("node <> _first").drop("_first")
-    apart = C.saved(rest.withColumn("_lo", F.min("label").over(several)).withColumn("_hi", F.max("label").over(several))
+    apart = C.saved(named.withColumn("_lo", F.min("label").over(several)).withColumn("_hi", F.max("label").over(several))
                     .filter("_lo <> _hi").drop("_lo", "_hi"), "tables")
-    more = C.saved(_links(_pairs(apart, list(range(1, LEADERS + 1)), percent), sets, percent), "links")
+    more = C.saved(_links(_pairs(apart, list(range(LEADERS + 1)), percent), sets, percent), "links")
     links = links.union(more)
     labels = graph.components(links)
     last = C.saved(_rest(apart, labels, sets, percent), "links")
