@@ -82,8 +82,11 @@ def curve_column(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Write ``docs`` with ``slot`` to ``path/shard=N`` in curve order and return the table read back."""
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot").withColumn("_curve", curve_column(docs, dimensions))
-    ties = [c for c in ("doc_id", "text") if c in docs.columns]
+    docs = docs.drop("shard", "slot")
+    # The input travels in one struct, so that no column of it meets a name of this function.
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    docs = docs.select(held, curve_column(docs, dimensions).alias("_curve"))
+    ties = [f"_doc.{c}" for c in ("doc_id", "text") if c in docs.schema["_doc"].dataType.names]
     # Position: the number of the range partition and the row's place in it.
     ordered = docs.repartitionByRange(C.shuffle_parts(spark), "_curve", *ties[:1]).sortWithinPartitions("_curve", *ties)
     placed = C.saved(ordered.drop("_curve").withColumn("_at", F.monotonically_increasing_id()), "curve")
@@ -93,9 +96,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: t
     rank = F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1)
     # Whole numbers only, so that shard s begins exactly at the first rank r with r * shards >= s * total.
     shard = F.expr(f"_rank * {shards}L div {max(total, 1)}L").cast("int")
-    first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    cut = (placed.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn("_rank", rank)
-           .withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_part", "base", "n", "_rank", "_at"))
+    first = F.expr(f"(_shard * {total}L + {shards - 1}L) div {shards}L")
+    cut = placed.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn("_rank", rank).withColumn("_shard", shard)
+    cut = cut.select("_doc.*", F.col("_shard").alias("shard"), (F.col("_rank") - first).alias("slot"))
     cut.write.partitionBy("shard").parquet(path)
     return spark.read.schema(cut.schema).parquet(path)
 

@@ -198,5 +198,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.new_path(spark, "token-files")
     parts = write_documents(docs, path)
     base = C.number_parts(parts, "part", "n_ids").select("part", "base")
-    rows = read_documents(parts, path).join(base, "part")
+    # One row for each file. Without the hint Spark takes the documents read back, whose number it cannot know, for the small side.
+    rows = read_documents(parts, path).join(F.broadcast(base), "part")
     return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -355,6 +355,16 @@ def test_pipeline_equals_brute_force(spark):
     assert sum(r.length for r in found) > 0 and {r.piece for r in found} >= {0}
 
 
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "n", "base", "_part", "_rank", "_at", "_curve", "_doc", "_shard", "a.b"]
+    rows = [(i, f"t{i}", "en", f"s{i % 3}", i, *[i * 10 + k for k in range(9)]) for i in range(40)]
+    found = P4.write_shards(spark.createDataFrame(rows, names), f"{tmp_path}/shards")
+    assert set(found.columns) == {*names, "shard", "slot"}
+    assert sorted(tuple(r[c] for c in names) for r in found.collect()) == rows
+    sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert max(sizes) - min(sizes) <= 1 and found.groupBy("shard").agg({"slot": "max"}).filter("`max(slot)` > 2").count() == 0
+
+
 def test_dedup_goes_by_texts_not_ids(spark):
     """An id with two unrelated texts, and copies without an id: one row of each group of texts stays."""
     import corpus_pipeline as pipeline
