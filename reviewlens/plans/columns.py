@@ -312,7 +312,7 @@ def p19(spark, sf_dir):
 )
 def p20(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform(V.unit("embedding"), lambda x: F.round(x, 6)).alias("unit")
+        "vec_id", V.rounded(V.unit("embedding"), 6).alias("unit")
     )
 
 
