@@ -2,7 +2,7 @@
 
 import math
 
-import numpy as np
+import pyarrow as pa
 
 from reviewlens.functions import vectors as V
 from reviewlens.operators import similar as N
@@ -20,3 +20,16 @@ def test_cells_of_which_a_block_is_empty(spark):
     for rows in (1, 2, 3):
         got = N.cosine_neighbours(df, "k", "v", 2, block_rows=rows, pivots=1).groupBy("a").count().collect()
         assert sorted(map(tuple, got)) == [(i, 2) for i in vectors]
+
+
+def test_overlap_counts_only_ranges_that_share_items(spark, monkeypatch):
+    edges = spark.createDataFrame([(e, 10 * (e // 4) + i) for e in range(64) for i in range(3)], "e int, i int")
+    got = {(r[0], r[1]): r[2] for r in N.overlap_pairs(edges, "e", "i", block_rows=8).collect()}
+    assert got == {(a, b): 3 for a in range(64) for b in range(64) if a != b and a // 4 == b // 4}
+    # Thousands of entities without a common item make no cells to count.
+    rows = pa.table({"entity": [list(range(3000))], "size": [[1] * 3000], "n": [[1] * 3000], "item": [list(range(3000))]})
+    block = N._Block(rows)
+    assert sum(len(r) for r, _, _ in N._shared(block, block)) == 3000
+    monkeypatch.setattr(N, "EXPANSION", 7)
+    strips = list(N._shared(block, block))
+    assert len(strips) > 400 and sum(len(r) for r, _, _ in strips) == 3000
