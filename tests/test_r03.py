@@ -5,6 +5,7 @@ import math
 import pyarrow as pa
 
 from reviewlens.functions import vectors as V
+from reviewlens.operators import model as M
 from reviewlens.operators import similar as N
 
 
@@ -33,3 +34,18 @@ def test_overlap_counts_only_ranges_that_share_items(spark, monkeypatch):
     monkeypatch.setattr(N, "EXPANSION", 7)
     strips = list(N._shared(block, block))
     assert len(strips) > 400 and sum(len(r) for r, _, _ in strips) == 3000
+
+
+def test_learners_get_as_many_partitions_as_cores(spark):
+    class Spy:
+        labelCol, weightCol = "label", "weight"
+
+        def copy(self, params):
+            return self
+
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions(), rows.count()
+
+    cores = spark.sparkContext.defaultParallelism
+    assert M.fit(spark.range(1000).repartition(5 * cores), Spy()) == (cores, 1000)
+    assert M.fit(spark.range(1000).repartition(2), Spy()) == (2, 1000)
