@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from reviewlens.functions import vectors as V
 from reviewlens.operators import model as M
+from reviewlens.operators import ranking as R
 from reviewlens.operators import similar as N
 
 
@@ -49,3 +50,16 @@ def test_learners_get_as_many_partitions_as_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert M.fit(spark.range(1000).repartition(5 * cores), Spy()) == (cores, 1000)
     assert M.fit(spark.range(1000).repartition(2), Spy()) == (2, 1000)
+
+
+def test_ranking_factors_move_once_a_stratum_and_blocks_are_few(spark, monkeypatch):
+    # 1, 10 and 60 times 600,000 pairs; beyond 288,000,000 pairs the pairs of a task are what limits.
+    assert [R.block_count(n) for n in (0, 99_000, 600_000, 6_000_000, 36_000_000, 216_000_000)] == [1, 1, 3, 8, 12, 12]
+    assert R.block_count(2_000_000_000) == 32
+    written = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df, real=R.cut_lineage: written.append(df.columns) or real(df))
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(30) if (a + b) % 3], "u int, i int")
+    u, v = R.ranking_factors(pairs, "u", "i", 3, epochs=10, task_pairs=60)
+    assert u.count() == v.count() == 30
+    # The first factors and those after each of the two visits, whatever the number of strata.
+    assert sum("factors" in columns for columns in written) == 3
