@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pyarrow as pa
 
 from reviewlens.functions import vectors as V
+from reviewlens.operators import factor as X
 from reviewlens.operators import model as M
 from reviewlens.operators import ranking as R
 from reviewlens.operators import similar as N
@@ -63,3 +65,27 @@ def test_ranking_factors_move_once_a_stratum_and_blocks_are_few(spark, monkeypat
     assert u.count() == v.count() == 30
     # The first factors and those after each of the two visits, whatever the number of strata.
     assert sum("factors" in columns for columns in written) == 3
+
+
+def test_non_negative_factors_on_a_grid_equal_plain_updates(spark, monkeypatch):
+    cells = {(a, b): 1.0 + (a * b) % 4 for a in range(40) for b in range(25) if (a * 7 + b * 3) % 5 < 2}
+    frame = spark.createDataFrame([(a, f"c{b:02d}", v) for (a, b), v in cells.items()] + [(None, "c01", 1.0), (3, "c04", None)], "r int, c string, v double")
+    a = np.zeros((40, 25))
+    for (r, c), v in cells.items():
+        a[r, c] = v
+    monkeypatch.setattr(X, "SLICE_KEYS", 12)
+    monkeypatch.setattr(X, "CELL_ENTRIES", 40)
+    assert np.prod(X._grid(len(cells), 40, 25)) >= 10
+    read = lambda table, key: np.array([r["vector"] for r in table.orderBy(key).collect()])
+    w, h = (read(t, key) for t, key in zip(X.non_negative_factors(frame, "r", "c", "v", 3, 0), "rc"))
+    for _ in range(4):
+        h = h * (a.T @ w) / (h @ (w.T @ w) + 1e-12)
+        w = w * (a @ h) / (w @ (h.T @ h) + 1e-12)
+    rows, columns = X.non_negative_factors(frame, "r", "c", "v", 3, 4)
+    assert np.allclose(read(rows, "r"), w, rtol=1e-9) and np.allclose(read(columns, "c"), h, rtol=1e-9)
+    # New rows for fixed columns: the product with the columns is made once, not once a step.
+    written = []
+    monkeypatch.setattr(X, "cut_lineage", lambda df, real=X.cut_lineage: written.append(df.columns) or real(df))
+    got = read(X.project_rows(frame, "r", "c", "v", columns, 3, 30), "r")
+    assert len(written) == 2 and got.shape == (40, 3)
+    assert ((a - got @ h.T) ** 2).sum() < ((a - w @ h.T) ** 2).sum() * 1.05
