@@ -107,3 +107,12 @@ def test_fits_of_folds_and_seeds_run_at_the_same_time(spark):
     assert [round(m.intercept, 6) for m in models] == [round(m.intercept, 6) for m in alone]
     out = M.seed_average(rows, rows, ["x"], ["id"], lambda seed: Meets(featuresCol="_features"))
     assert out.count() == 60
+
+
+def test_trees_without_a_cache_of_nodes_are_the_same(spark):
+    rows = spark.range(3000).selectExpr("id", "id * 7 % 11 AS x", "id * id % 13 AS y", "int(id * 7 % 11 + id % 5 > 7) AS target")
+    rows = M.assemble(rows, ["x", "y"], ["id", "target"])
+    learner = M.boosted_trees(trees=3)
+    assert not learner.getCacheNodeIds() and not M.VARIANTS["deep"](trees=1).getCacheNodeIds()
+    plain, cached = (M.score(M.fit(rows, x), rows, ["id"]).orderBy("id").collect() for x in (learner, learner.copy().setCacheNodeIds(True)))
+    assert plain == cached and len({r["score"] for r in plain}) > 2
