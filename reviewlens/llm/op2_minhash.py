@@ -10,8 +10,9 @@ Steps: equal shingle sets become one node; tables with two nodes or more are kep
 smallest one, so that a large group meets the same few leaders in all its tables. Nodes of one component are not compared
 again, nor is the smallest node of a table, which has met all others: where the rest of a table still holds several
 components, ``LEADERS`` more leaders are picked by a hash of node and table, so that a pair meets in many of its common
-tables. The number of these pairs is linear in the table sizes. What is still unmet, nodes of different components in one
-table, is compared in full: blocks of such nodes meet inside tasks, and only links leave them.
+tables. The number of these pairs is linear in the table sizes; more leaders than one mostly bring pairs of a large group of
+near copies that are no links, and these the blocks compare anyway, without a row for each. What is still unmet, nodes of
+different components in one table, is compared in full: blocks of such nodes meet inside tasks, and only links leave them.
 Every link is confirmed on the full shingle sets, and no two components that share a table are left unmet.
 
 Null or empty text, and text without words: no shingles, linked with nothing, a component of its own. Repeated rows (also
@@ -32,7 +33,7 @@ from reviewlens.llm import common as C
 from reviewlens.llm import graph
 
 WIDTH, PERCENT = 4, 80
-SIDE, PER_SIDE, LEADERS = 14, 3, 3
+SIDE, PER_SIDE, LEADERS = 14, 3, 1
 BLOCK, PER_NODE = 1 << 18, 256  # shingles of a block; each node counts as that many more
 SEED = 20_011
 
