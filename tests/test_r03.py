@@ -11,6 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from reviewlens.functions import vectors as V
 from reviewlens.llm import op2_minhash as P2
 from reviewlens.operators import factor as X
+from reviewlens.operators import graph as G
 from reviewlens.operators import model as M
 from reviewlens.operators import ranking as R
 from reviewlens.operators import similar as N
@@ -145,3 +146,31 @@ def test_near_copies_that_are_no_links_make_few_pairs(spark, monkeypatch):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     assert {r.doc_id: r.component_id for r in found} == {i: find(i) for i in range(300)}
     assert sum(made) < 80 * len(rows), made
+
+
+def test_neighbour_means_send_a_vector_once_to_a_block(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(f"a{rng.randrange(12)}", f"b{rng.randrange(40)}") for _ in range(400)]
+    edges += [(b, a) for a, b in edges] + [("b1", "b2"), ("alone", "a1")]
+    given = [(f"b{i}", [float(i), -1.0, i / 3]) for i in range(0, 40, 3)] + [("b6", [9.0, 9.0, 9.0]), ("b7", None), ("nowhere", [1.0, 1.0, 1.0])]
+    want, known = {}, given
+    for _ in range(2):
+        sums = {}
+        for src, dst in edges:
+            for _, v in [x for x in known if x[0] == src] or [(src, None)]:
+                total = sums.setdefault(dst, [np.zeros(3), 0])
+                total[0] += np.zeros(3) if v is None else np.array(v)
+                total[1] += 1
+        want = {k: s / n for k, (s, n) in sums.items()}
+        known = list(want.items())
+    moved = []
+    monkeypatch.setattr(G, "_summed", lambda cells, known, *rest, real=G._summed: moved.append(cells.join(known, "src").count()) or real(cells, known, *rest))
+    monkeypatch.setattr(G, "EDGES_AT_ONCE", 7)
+    frame, vectors = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(given, "node string, v array<float>")
+    for size, most in ((50_000, 8), (3, 18)):
+        monkeypatch.setattr(G, "BLOCK_NODES", size)
+        found = {r["node"]: r["v"] for r in G.neighbour_mean(frame, vectors, "node", "v", 3, hops=2).collect()}
+        assert found.keys() == want.keys() and all(np.allclose(found[k], want[k], atol=1e-6) for k in want)
+        # Nodes with vectors, at most once for each block: 13 and 16 rows of them, then 12 nodes that have a mean and b2 from b1.
+        assert moved[0] <= 16 * most and moved[1] <= 53 * most
+        moved.clear()
