@@ -191,13 +191,16 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     same large component.
     """
     named = members.select("node", "n", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    leaders = named.groupBy("key").agg(*[
-        F.min(F.struct(F.xxhash64("node", "key", F.lit(p)).alias("h"), "node")).getField("node").alias(f"lead{p}")
-        for p in range(1, LEADERS + 1)
-    ])
-    unmet = named.join(leaders, "key").filter(~F.col("node").isin(*[F.col(f"lead{p}") for p in range(1, LEADERS + 1)]))
-    several = unmet.groupBy("key").agg(F.min("node").alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    unmet = C.saved(unmet.join(several, "key").select("node", "n", "label", "first"), "unmet")
+    # One shuffle by table, and no join back to it: all that a table has to know of itself comes from windows.
+    table = Window.partitionBy("key")
+    led = named
+    for p in range(1, LEADERS + 1):
+        pick = F.min(F.struct(F.xxhash64("node", "key", F.lit(p)).alias("h"), "node")).over(table)
+        led = led.withColumn(f"lead{p}", pick.getField("node"))
+    unmet = led.filter(~F.col("node").isin(*[F.col(f"lead{p}") for p in range(1, LEADERS + 1)]))
+    unmet = unmet.withColumn("first", F.min("node").over(table)).withColumn("lo", F.min("label").over(table))
+    unmet = unmet.withColumn("hi", F.max("label").over(table)).filter("lo <> hi")
+    unmet = C.saved(unmet.select("node", "n", "label", "first"), "unmet")
     groups = graph.components(unmet, "node", "first").withColumnRenamed("label", "group")
     load = (F.col("n") + PER_NODE).alias("load")
     nodes = C.saved(unmet.select("node", "label", load).distinct().join(groups, "node"), "unmet")

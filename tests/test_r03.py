@@ -174,3 +174,33 @@ def test_neighbour_means_send_a_vector_once_to_a_block(spark, monkeypatch):
         # Nodes with vectors, at most once for each block: 13 and 16 rows of them, then 12 nodes that have a mean and b2 from b1.
         assert moved[0] <= 16 * most and moved[1] <= 53 * most
         moved.clear()
+
+
+def test_tables_are_not_joined_to_their_leaders(spark, monkeypatch):
+    plans, saved = [], P2.C.saved
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return saved(df, name)
+
+    monkeypatch.setattr(P2.C, "saved", spy)
+    rng, members, sets = random.Random(5), [], []
+    for table in range(3):
+        base = list(range(1000 * table, 1000 * table + 100))
+        for i in range(30):
+            node = 100 * table + i
+            sets.append((node, base[i % 2:90] + [10_000 + 10 * node]))
+            members += [(node, len(sets[-1][1]), key) for key in (table, 50 + table)]
+    rng.shuffle(members)
+    members = spark.createDataFrame(members, "node long, n long, key long")
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, label long")
+    links = P2._rest(members, labels, spark.createDataFrame(sets, "node long, shingles array<long>"), 80)
+    own = P2.graph.components(links.union(spark.createDataFrame([(0, 1)], "a long, b long"))).collect()
+    leaders = members.groupBy("key").agg({"node": "count"}).collect()
+    assert {r[1] for r in leaders} == {30}
+    # All but the leaders, which have met the others before, end in one component a table.
+    found = {}
+    for node, label in own:
+        found.setdefault((node // 100, label), set()).add(node)
+    assert sorted(len(v) for v in found.values())[-3:] >= [28, 28, 28]
+    assert not [p for p in plans if "Join Inner, (key#" in p]
