@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators import encode as E
 from reviewlens.operators import factor as X
 from reviewlens.operators import feature_sets as S
+from reviewlens.operators import ranking as R
 from reviewlens.operators import running as W
 
 
@@ -56,3 +57,27 @@ def test_baseline_moves_rows_once(spark, monkeypatch, few):
         assert got_rows == wanted_rows and set(got.columns) == {*names, S.DOCUMENTARY}
     # Row features and the result of both sides; nothing else carries a text along.
     assert sum("info" in c and "title" in c for c in written) == 4
+
+
+def test_every_task_of_a_stratum_has_a_partition(spark, monkeypatch):
+    for n in (1, 3, 8, 12, 32):
+        tasks = spark.createDataFrame([(x,) for x in R._slots(spark, n)], "slot int").repartition(n, "slot")
+        assert sorted(len(part) for part in tasks.rdd.glom().collect()) == [1] * n
+    spread = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df, real=R.cut_lineage: (
+        "factors" in df.columns and spread.append(df.rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).collect())) or real(df))
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(30) if (a + b) % 3], "u int, i int")
+    R.ranking_factors(pairs, "u", "i", 3, epochs=10, task_pairs=60)
+    # Four tasks after each of the two visits, none of them beside another.
+    assert [sum(parts) for parts in spread[1:]] == [R.block_count(800, 60)] * 2
+
+
+def test_mean_step_of_repeated_rows():
+    rng = np.random.default_rng(3)
+    for n, m in ((50, 400), (400, 50), (3, 1)):
+        rows, moves, factors = rng.integers(0, n, m), rng.normal(size=(m, 4)), rng.normal(size=(n, 4))
+        wanted = factors.copy()
+        for r in set(rows.tolist()):
+            wanted[r] += 0.5 * (moves[rows == r].mean(axis=0) - 0.01 * wanted[r])
+        R.mean_step(factors, rows, moves.copy(), 0.5, 0.01)
+        assert np.allclose(factors, wanted)
